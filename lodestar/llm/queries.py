@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing
+from lodestar.llm import mixing, sharding, tokens
 from lodestar.runtime import table
 
 QUERIES = {
+    "op1_token_counts": lambda spark, sf: tokens.token_counts(table(spark, sf, "documents")),
+    "op2_sharding": lambda spark, sf: sharding.shard(table(spark, sf, "documents")),
     "op4_mixing": lambda spark, sf: mixing.mix(table(spark, sf, "documents")),
 }
 
