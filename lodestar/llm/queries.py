@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing, sharding, tokens
+from lodestar.llm import cas, chat, licenses, mixing, sharding, tokens
 from lodestar.runtime import table
 
 QUERIES = {
     "op1_token_counts": lambda spark, sf: tokens.token_counts(table(spark, sf, "documents")),
     "op2_sharding": lambda spark, sf: sharding.shard(table(spark, sf, "documents")),
+    "op3_license_scan": lambda spark, sf: licenses.scan(table(spark, sf, "documents")),
     "op4_mixing": lambda spark, sf: mixing.mix(table(spark, sf, "documents")),
+    "op5_chat_format": lambda spark, sf: chat.chat(table(spark, sf, "conversations")),
+    "op6_token_store": lambda spark, sf: cas.store(table(spark, sf, "documents")),
 }
 
 ORACLES = {
+    "op3_license_scan": licenses.oracle(),
+    "op5_chat_format": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
 }
