@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import cas, chat, licenses, mixing, sharding, tokens
+from lodestar.llm import cas, chat, licenses, mixing, quality, sharding, tokens
 from lodestar.runtime import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_mixing": lambda spark, sf: mixing.mix(table(spark, sf, "documents")),
     "op5_chat_format": lambda spark, sf: chat.chat(table(spark, sf, "conversations")),
     "op6_token_store": lambda spark, sf: cas.store(table(spark, sf, "documents")),
+    "op7_quality_rules": quality.query,
 }
 
 ORACLES = {

@@ -47,14 +47,18 @@ def lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, _R, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+_INV = pow(int(_R), -1, 1 << 64)
+_STEP = 1 << 17
+_CACHE: dict[int, np.ndarray] = {}
 
 
-_INV = pow(int(_R), -1, 1 << 64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64; kept for as many as a step of words() needs."""
+    if n > 2 * _STEP:
+        return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
+    if base not in _CACHE:
+        _CACHE[base] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(2 * _STEP - 1, base, np.uint64)]))
+    return _CACHE[base][:n]
 
 
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,21 +82,15 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = _WORD) ->
         marks = np.sort(np.concatenate([marks, cut, cut]))
     start, end = marks[0::2], marks[1::2]
     # polynomial prefix sums modulo 2**64; a word's sum is shifted to a common power
-    at = 0
     h = np.empty(len(start), np.uint64)
-    step = 1 << 22
-    first = np.searchsorted(start, np.arange(0, n + step, step))
-    for k in range(len(first) - 1):
-        a, b = first[k], first[k + 1]
+    first = np.searchsorted(start, np.arange(0, n + _STEP, _STEP))
+    for a, b in zip(first[:-1], first[1:]):
         if a == b:
             continue
         lo, hi = int(start[a]), int(end[b - 1])
-        pw = powers(hi - lo)
         run = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * pw, out=run[1:])
-        h[a:b] = run[end[a:b] - lo] - run[start[a:b] - lo]
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(hi - lo, np.uint64(_INV))]))
-        h[a:b] *= back[start[a:b] - lo]
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(int(_R), hi - lo), out=run[1:])
+        h[a:b] = (run[end[a:b] - lo] - run[start[a:b] - lo]) * _powers(_INV, hi - lo + 1)[start[a:b] - lo]
     at = np.searchsorted(start, offsets)
     return start, end, mix64(h), at
 
@@ -123,16 +121,13 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct values in ascending order, and their offsets."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
-    if not len(v):
-        return v, np.zeros(len(at), np.int64)
-    keep = np.empty(len(v), bool)
-    keep[0] = True
-    keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    v, d = v[keep], d[keep]
-    return v, np.searchsorted(d, np.arange(len(at)))
+    v = values.copy()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        v[a:b].sort()
+    keep = np.ones(len(v), bool)
+    keep[1:] = v[1:] != v[:-1]
+    keep[at[:-1][np.diff(at) > 0]] = True
+    return v[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
