@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing
+from lodestar.llm import decontaminate, mixing, neardup, quality, sharding
 from lodestar.runtime import scratch
 
-STAGES = [("mixing", mixing.stage)]
+STAGES = [
+    ("quality rules", quality.stage),
+    ("near duplicates", neardup.stage),
+    ("decontamination", decontaminate.stage),
+    ("mixing", mixing.stage),
+    ("sharding", sharding.stage),
+]
 
 #: SQL can't express the trained model, MinHash and SimHash stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
@@ -15,7 +21,7 @@ def run(spark, sf_dir: str):
     """All stages applied to documents, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        at = scratch(spark, f"pipeline-{name}")
+        at = scratch(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import cas, chat, licenses, mixing, neardup, quality, sharding, tokens
+from lodestar.llm import cas, chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokens
 from lodestar.runtime import table
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_token_store": lambda spark, sf: cas.store(table(spark, sf, "documents")),
     "op7_quality_rules": quality.query,
     "op9_near_duplicates": lambda spark, sf: neardup.groups(table(spark, sf, "documents")),
+    "op10_decontamination": lambda spark, sf: decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
 
 ORACLES = {
