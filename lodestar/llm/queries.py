@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import cas, chat, decontaminate, licenses, mixing, neardup, quality, sharding, tokens
+from lodestar.llm import cas, chat, decontaminate, licenses, mixing, neardup, privacy, quality, sharding, tokens
 from lodestar.runtime import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_chat_format": lambda spark, sf: chat.chat(table(spark, sf, "conversations")),
     "op6_token_store": lambda spark, sf: cas.store(table(spark, sf, "documents")),
     "op7_quality_rules": quality.query,
+    "op8_sanitised": lambda spark, sf: privacy.sanitise(table(spark, sf, "documents")),
     "op9_near_duplicates": lambda spark, sf: neardup.groups(table(spark, sf, "documents")),
     "op10_decontamination": lambda spark, sf: decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
