@@ -8,10 +8,12 @@ of one two-byte prefix have a Merkle root too, and the store's manifest holds th
 
 from __future__ import annotations
 
+import array
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lodestar.llm.tokens import TOKENIZER, encode, encoder
@@ -77,10 +79,11 @@ def chunks_of(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 cols: list[list] = [[] for _ in schema]
                 for doc_id, text in zip(b.column("doc_id").slice(at, 512).to_pylist(), b.column("text").slice(at, 512)):
-                    ids = np.array(encode(enc, text.as_py()), "<u2")
+                    whole = array.array("H", encode(enc, text.as_py())).tobytes()
+                    ids = np.frombuffer(whole, "<u2")
                     recipe, start = [], 0
                     for end in cuts(ids):
-                        data = ids[start:end].tobytes()
+                        data = whole[2 * start : 2 * end]
                         d, start = digest(data), end
                         recipe.append(d)
                         if d not in seen:
@@ -108,16 +111,14 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> Non
     placed = both.repartition(key).sortWithinPartitions("kind", key)
 
     def once(batches):
-        last = None
+        last = pa.scalar(None, pa.binary())
         for b in batches:
-            d = b.column("digest").to_pylist()
-            keep = []
-            for x in d:
-                keep.append(x is None or x != last)
-                last = x
-            yield b.filter(pa.array(keep))
-
-    placed.mapInArrow(once, placed.schema).write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+            d = b.column("digest")
+            before = pa.concat_arrays([pa.array([last.as_py()], pa.binary()), d.slice(0, len(d) - 1)]) if len(d) else d
+            last = d[len(d) - 1] if len(d) else last
+            yield b.filter(pc.fill_null(pc.not_equal(d, before), True))
+
+    placed.mapInArrow(once, placed.schema).write.option("compression", "snappy").option("parquet.enable.dictionary", "false").partitionBy("kind").parquet(folder)
 
 
 def recipes(spark, folder: str) -> DataFrame:
