@@ -1,4 +1,6 @@
 """Named queries over the test tables and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestar.plans import storage, vectors
+
+QUERIES: dict = {**vectors.QUERIES, **storage.QUERIES}
+ORACLES: dict = {**vectors.ORACLES, **storage.ORACLES}
