@@ -12,9 +12,10 @@ together, so two long documents that quote one short one stay apart. The largest
 group, of equals the one of least id, is the one to keep.
 
 Groups may have any size, so candidates are not enumerated as pairs inside hot buckets. Exact copies
-are folded first. Each document is held against the top of its best bucket; then, bucket by bucket,
-components that are still apart are compared through their top members in that bucket until no
-bucket holds an uncompared pair of components. A group of n copies costs about n comparisons.
+are folded first. Each document is held against the top that most of its buckets have; then, bucket
+by bucket, components that are still apart are compared through their top members there, at first
+with the bucket's top alone, as long as that is new, and then each with each (crowded buckets are
+split first, see CROWD), until no bucket holds an uncompared pair of components. A group of n copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -32,6 +33,13 @@ PERMUTATIONS = 96
 #: Distance between size partitions -> (bands, rows of a band): the Jaccard bound at T = 0.7 is 0.30,
 #: 0.16 and 0.08. Fewer than two rows would make candidates of every pair with a common phrase.
 BANDING = {0: (32, 3), 1: (32, 2), 2: (32, 2)}
+#: A bucket of more components than this is split by further rows of the signatures before its
+#: components are compared each with each, and so are the parts that are still crowded. Copies, which
+#: agree in most rows, stay together in some part; what met by a common phrase falls apart.
+CROWD = 16
+FINER = 12
+#: After so many splits, parts are compared each with each whatever their size.
+DEPTH = 2
 _RNG = np.random.default_rng(20260101)
 _A = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -188,34 +196,78 @@ def _mutual(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("both") >= F.lit(T) * F.greatest("na", "nb"))
 
 
-def _apart(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """``(a, b)``, a above b: for each bucket that holds more than one component, pairs of their top members there.
-
-    Only members that may find each other pair up: one of them indexed and the other asking.
-    """
+def _heads(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """For each bucket that holds ``c > 1`` components, the top indexed and asking member of each: ``(key, comp, x, y, c)``."""
     rank = F.struct("n", (-F.col("id")).alias("neg"))
     m = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     heads = m.groupBy("key", "comp").agg(F.max(F.when(F.col("indexed"), rank)).alias("x"), F.max(F.when(F.col("asks"), rank)).alias("y"))
-    many = heads.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
-    left, right = many.filter("x is not null").select("key", F.col("comp").alias("ca"), "x"), many.filter("y is not null").select("key", F.col("comp").alias("cb"), "y")
+    return heads.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
+
+
+def _star(heads: DataFrame) -> DataFrame:
+    """``(a, b)``: a bucket's top with the head of each of its other components."""
+    up = heads.withColumn("top", F.max("x").over(W.partitionBy("key"))).filter("y is not null and (x is null or x < top) and top > y")
+    return up.select((-F.col("top.neg")).alias("a"), (-F.col("y.neg")).alias("b")).distinct()
+
+
+def _each(heads: DataFrame) -> DataFrame:
+    """``(a, b)``, a above b: the heads of every two components of a bucket that may find each other."""
+    left, right = heads.filter("x is not null").select("key", F.col("comp").alias("ca"), "x"), heads.filter("y is not null").select("key", F.col("comp").alias("cb"), "y")
     pair = left.join(right, "key").filter("ca != cb").filter(F.col("x") > F.col("y"))
     return pair.select((-F.col("x.neg")).alias("a"), (-F.col("y.neg")).alias("b")).distinct()
 
 
+def _refined(heads: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Crowded buckets split by two more rows of the signatures, in FINER ways each, drawn by the bucket's key."""
+    side = lambda c: heads.filter(f"{c} is not null").select("key", (-F.col(f"{c}.neg")).alias("id"), F.col(f"{c}.n").alias("n"), F.lit(c == "x").alias("indexed"), F.lit(c == "y").alias("asks"))
+    members = side("x").union(side("y")).groupBy("key", "id", "n").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
+            key = b.column("key").to_numpy().view(np.uint64)
+            way = mix64(key[:, None] + np.arange(1, FINER + 1, dtype=np.uint64)[None])
+            row = np.arange(len(sig))[:, None]
+            fine = way.copy()
+            for shift in (0, 24):
+                fine = mix64(fine * np.uint64(31) + sig[row, (way >> np.uint64(shift)).astype(np.uint32) % PERMUTATIONS])
+            each = [b.column(c).take(pa.array(np.repeat(np.arange(len(sig)), FINER))) for c in ("id", "n", "indexed", "asks")]
+            yield pa.RecordBatch.from_arrays([pa.array(fine.ravel().view(np.int64)), *each], ["key", "id", "n", "indexed", "asks"])
+
+    return members.join(sketches.select("id", "sig"), "id").mapInArrow(run, "key long, id long, n int, indexed boolean, asks boolean")
+
+
 def linked(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Verified edges ``(a, b, na, nb, both)`` among ``sketches (id, n, sig)``, enough for the groups."""
     buckets = cut(shared_buckets(band_keys(sketches)))
     sets = cut(shingle_sets(docs, buckets.select("id").distinct()))
-    best = buckets.filter(F.col("asks") & (F.col("id") != -F.col("top.neg"))).groupBy("id").agg(F.max("top").alias("top"))
-    todo = cut(best.select((-F.col("top.neg")).alias("a"), F.col("id").alias("b")))
-    edges, done = None, None
-    while True:
-        got = cut(common(todo, sets))
-        edges = got if edges is None else cut(edges.union(got))
-        done = todo if done is None else done.union(todo)
-        todo = cut(_apart(buckets, components(_mutual(edges))).join(done, ["a", "b"], "left_anti"))
-        if todo.isEmpty():
-            return edges
+    # the top that most of a document's buckets have
+    seen = buckets.filter(F.col("asks") & (F.col("id") != -F.col("top.neg"))).groupBy("id", "top").agg(F.count(F.lit(1)).alias("c"))
+    best = seen.groupBy("id").agg(F.max(F.struct("c", "top"))["top"].alias("top"))
+    todo = done = cut(best.select((-F.col("top.neg")).alias("a"), F.col("id").alias("b")))
+    edges = cut(common(todo, sets))
+    comps = components(_mutual(edges))
+    for depth in range(DEPTH + 1):
+        most = CROWD if depth < DEPTH else 1 << 62
+        while True:
+            heads = cut(_heads(buckets, comps))
+            todo = cut(_star(heads).join(done, ["a", "b"], "left_anti"))
+            if todo.isEmpty():
+                todo = cut(_each(heads.filter(F.col("c") <= most)).join(done, ["a", "b"], "left_anti"))
+            if todo.isEmpty():
+                break
+            done = done.union(todo)
+            new = cut(common(todo, sets))
+            edges = edges.union(new)
+            if not _mutual(new).isEmpty():
+                comps = components(_mutual(edges))
+        crowded = heads.filter(F.col("c") > most)
+        if crowded.isEmpty():
+            break
+        buckets = cut(shared_buckets(_refined(crowded, sketches)))
+    return edges
 
 
 def groups(docs: DataFrame) -> DataFrame:
