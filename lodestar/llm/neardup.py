@@ -196,12 +196,18 @@ def _mutual(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("both") >= F.lit(T) * F.greatest("na", "nb"))
 
 
-def _heads(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """For each bucket that holds ``c > 1`` components, the top indexed and asking member of each: ``(key, comp, x, y, c)``."""
+def _singles(buckets: DataFrame) -> DataFrame:
+    """Bucket members, each as a component of its own: ``(key, comp, x, y)``, x where indexed and y where asking."""
     rank = F.struct("n", (-F.col("id")).alias("neg"))
-    m = buckets.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    heads = m.groupBy("key", "comp").agg(F.max(F.when(F.col("indexed"), rank)).alias("x"), F.max(F.when(F.col("asks"), rank)).alias("y"))
-    return heads.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
+    return buckets.select("key", F.col("id").alias("comp"), F.when(F.col("indexed"), rank).alias("x"), F.when(F.col("asks"), rank).alias("y"))
+
+
+def _heads(heads: DataFrame, comps: DataFrame) -> DataFrame:
+    """``heads`` under the components of now: for each bucket that still holds ``c > 1``, the top indexed
+    and asking member of each. Components only grow, so what a round leaves is all that the next needs."""
+    m = heads.join(comps.select(F.col("id").alias("comp"), F.col("comp").alias("now")), "comp", "left").withColumn("comp", F.coalesce("now", "comp"))
+    now = m.groupBy("key", "comp").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return now.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
 
 
 def _star(heads: DataFrame) -> DataFrame:
@@ -249,10 +255,11 @@ def linked(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     todo = done = cut(best.select((-F.col("top.neg")).alias("a"), F.col("id").alias("b")))
     edges = cut(common(todo, sets))
     comps = components(_mutual(edges))
+    heads = _singles(buckets)
     for depth in range(DEPTH + 1):
         most = CROWD if depth < DEPTH else 1 << 62
         while True:
-            heads = cut(_heads(buckets, comps))
+            heads = cut(_heads(heads, comps))
             todo = cut(_star(heads).join(done, ["a", "b"], "left_anti"))
             if todo.isEmpty():
                 todo = cut(_each(heads.filter(F.col("c") <= most)).join(done, ["a", "b"], "left_anti"))
@@ -266,7 +273,7 @@ def linked(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         crowded = heads.filter(F.col("c") > most)
         if crowded.isEmpty():
             break
-        buckets = cut(shared_buckets(_refined(crowded, sketches)))
+        heads = _singles(cut(shared_buckets(_refined(crowded, sketches))))
     return edges
 
 
