@@ -94,26 +94,30 @@ def margins(col: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """The features of the labelled rows as a sparse matrix, in blocks of 200 rows."""
+    """The features of the labelled rows as a sparse matrix, in blocks of 200 rows, 8 bytes an entry.
+
+    A block holds slots, rows, families and counts (65,535 at most), and each row's totals by family.
+    """
 
     def __init__(self, texts: list[str]):
         self.n, self.blocks = len(texts), []
-        df = np.zeros(1 << BITS, np.int32)
+        self.df = np.zeros(1 << BITS, np.int32)
         for lo in range(0, len(texts), 200):
             part = pa.array(texts[lo : lo + 200], pa.string())
-            found = []
-            for s, at in families(part):
+            found, totals = [], []
+            for family, (s, at) in enumerate(families(part)):
                 n = np.diff(at)
                 key = np.repeat(np.arange(len(part), dtype=np.int64), n) << BITS | s
                 u, c = np.unique(key, return_counts=True)
-                r = (u >> BITS).astype(np.int32)
-                found.append(((u & ((1 << BITS) - 1)).astype(np.int32), r.astype(np.uint8), c.astype(np.float32), n[r].astype(np.float32)))
+                found.append(((u & ((1 << BITS) - 1)).astype(np.int32), (u >> BITS).astype(np.uint8), np.full(len(u), family, np.uint8), np.minimum(c, 65535).astype(np.uint16)))
+                totals.append(np.maximum(n, 1).astype(np.float32))
             block = [np.concatenate(x) for x in zip(*found)]
-            df += np.bincount(block[0], minlength=1 << BITS).astype(np.int32)
-            self.blocks.append((lo, len(part), *block))
-        keep = df >= LEAST_ROWS
-        self.blocks = [(lo, n, s[k], r[k], c[k], t[k]) for lo, n, s, r, c, t in self.blocks for k in [keep[s]]]
-        self.df = df
+            self.df += np.bincount(block[0], minlength=1 << BITS).astype(np.int32)
+            self.blocks.append((lo, len(part), np.stack(totals), *block))
+        keep = self.df >= LEAST_ROWS
+        for k, (lo, n, totals, *block) in enumerate(self.blocks):  # one at a time, so that the memory isn't needed twice
+            some = keep[block[0]]
+            self.blocks[k] = (lo, n, totals, *(x[some] for x in block))
 
     def of(self, power: float, scaled: bool) -> "Rows":
         """Set values for one head: counts over totals to ``power``; if ``scaled``, each slot's usual
@@ -123,19 +127,23 @@ class Rows:
         if not scaled:
             return self
         square = np.zeros(1 << BITS)
-        for _, _, s, _, c, t in self.blocks:
-            square += np.bincount(s, (c / t**power) ** 2, 1 << BITS)
+        for block in self.blocks:
+            square += np.bincount(block[3], self._values(block) ** 2, 1 << BITS)
         self.scale = np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1e-30) / np.maximum(self.df, 1)), 0)
         return self
 
+    def _values(self, block) -> np.ndarray:
+        _, _, totals, _, rows, family, counts = block
+        return counts / (totals**self.power)[family, rows]
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         w = (w * self.scale).astype(np.float32)
-        return np.concatenate([np.bincount(r, c / t**self.power * w[s], n) for _, n, s, r, c, t in self.blocks]) if self.blocks else np.zeros(0)
+        return np.concatenate([np.bincount(b[4], self._values(b) * w[b[3]], b[1]) for b in self.blocks]) if self.blocks else np.zeros(0)
 
     def back(self, g: np.ndarray) -> np.ndarray:
         out, g = np.zeros(1 << BITS), g.astype(np.float32)
-        for lo, n, s, r, c, t in self.blocks:
-            out += np.bincount(s, c / t**self.power * g[lo : lo + n][r], 1 << BITS)
+        for b in self.blocks:
+            out += np.bincount(b[3], self._values(b) * g[b[0] : b[0] + b[1]][b[4]], 1 << BITS)
         return out * self.scale
 
 
