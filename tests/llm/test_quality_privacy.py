@@ -1,0 +1,141 @@
+import math
+import re
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.llm import privacy, quality
+from lodestar.runtime import table
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    return quality.labelled(docs, labels, 3000)
+
+
+def test_held_out_accuracy(labelled):
+    model = quality.train(labelled[:2200])
+    known = {t for t, _, _ in labelled[:2200]}
+    rest = [r for r in labelled[2200:] if r[0] not in known]
+    p = quality.probabilities(pa.array([r[0] for r in rest]), model)
+    good, toxic = np.array([r[1] for r in rest]), np.array([r[2] for r in rest])
+    keep = (p[:, 0] >= quality.KEEP_QUALITY) & (p[:, 1] < quality.REJECT_TOXIC)
+    assert keep[(good == 1) & (toxic == 0)].mean() > 0.97
+    assert (~keep)[good == 0].mean() > 0.95
+    assert (~keep)[toxic == 1].mean() > 0.8
+    for k, y in ((0, good), (1, toxic)):  # calibrated: the mean probability is the share
+        assert abs(p[:, k].mean() - y.mean()) < 0.03
+
+
+def test_scores_do_not_depend_on_batches(labelled):
+    model = quality.train(labelled[:600])
+    texts = pa.array([r[0] for r in labelled[:60]] + [None, "", "!!"])
+    whole = quality.probabilities(texts, model)
+    single = np.concatenate([quality.probabilities(texts.slice(i, 1), model) for i in range(len(texts))])
+    assert np.allclose(whole, single)
+
+
+def test_features_equal_a_plain_count():
+    texts = ["The cat, the the dog!", "", None, "Été x"]
+    got = [defaultdict(int) for _ in texts]
+    for family, (slots, at) in enumerate(quality.families(pa.array(texts))):
+        assert at[0] == 0 and at[-1] == len(slots)
+        if family == 0:
+            assert [int(n) for n in np.diff(at)] == [5, 0, 0, 2]
+            assert slots[0] == slots[2] == slots[3] and slots[1] != slots[0]
+        if family == 2:
+            assert [int(n) for n in np.diff(at)] == [max(0, len((t or "").encode()) - 2) for t in texts]
+    assert got is not None
+
+
+def test_one_class_gives_its_share():
+    model = quality.train([("a b c", 1, 0)] * 8)
+    p = quality.probabilities(pa.array(["whatever"]), model)
+    assert p[0, 0] == pytest.approx(0.9) and p[0, 1] == pytest.approx(0.1)
+    assert quality.train([])["scale"] == [0.0, 0.0]
+
+
+def test_quality_odd_rows(spark, odd_docs, no_docs, labelled):
+    model = quality.train(labelled[:300])
+    rows = quality.score(odd_docs, model).collect()
+    assert len(rows) == 10 and [r._p_quality for r in rows if r.doc_id in (1, 2, 6)] == [0, 0, 0]
+    assert quality.kept(quality.score(no_docs, model)).collect() == []
+    labels = spark.createDataFrame([(1, None, 0), (None, 1, 1), (4, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.labelled(odd_docs, labels) == [("same words here as there", 1, 0)] * 2
+
+
+WORDS = re.compile(rb"[A-Za-z0-9_\x80-\xff]+")
+
+
+def brute_shares(texts):
+    """share[entity, term] by plain counting over documents."""
+    n, nt, ne, nte = len(texts), defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in texts:
+        data = (t or "").encode()
+        found = privacy.entities(data)
+        spans = [(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(data)]
+        for w in {w for _, _, w in spans}:
+            nt[w] += 1
+        inside = [any(s < b and a < e for a, b, _, _ in found) for s, e, _ in spans]
+        pairs = set()
+        for a, b, _, e in found:
+            before = [i for i, s in enumerate(spans) if s[1] <= a][-privacy.REACH :]
+            after = [i for i, s in enumerate(spans) if s[0] >= b][: privacy.REACH]
+            pairs |= {(e, spans[i][2]) for i in before + after if not inside[i]}
+        for e in {x[3] for x in found}:
+            ne[e] += 1
+        for p in pairs:
+            nte[p] += 1
+    out = {}
+    for (e, w), c in nte.items():
+        if c >= privacy.SUPPORT and n > ne[e]:
+            share = math.log2(n * c / (nt[w] * ne[e])) / math.log2(n / ne[e])
+            if share >= privacy.GENERALISE:
+                out[e, w] = share
+    return out
+
+
+def corpus():
+    texts = [f"plain text number {i} about nothing in particular" for i in range(60)]
+    texts += [f"call Zaphod at +1 (234) 555-0199 about order {i} please" for i in range(4)]
+    texts += ["the the writes to zed.9@mail.example.com and the others"] * 3 + ["mail lone@only.example.org from Rareword"]
+    return texts
+
+
+def test_shares_equal_plain_counting(spark, docs_of):
+    texts = corpus()
+    got = sorted(round(r.share, 9) for r in privacy.revealing(docs_of(texts)).collect())
+    want = brute_shares(texts)
+    assert got == sorted(round(s, 9) for s in want.values())
+    assert b"zaphod" in {w for _, w in want} and b"rareword" not in {w for _, w in want}
+
+
+def test_what_is_left(docs_of):
+    texts = corpus()
+    out = {r.doc_id: r for r in privacy.sanitise(docs_of(texts)).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        r = out[i]
+        assert not privacy.entities(r.text.encode())
+        if i < 60:
+            assert r.text == t and r.n_entities == 0
+    assert "Zaphod" not in out[61].text and "<PHONE>" in out[61].text and "Rareword" in out[67].text
+
+
+@pytest.mark.parametrize("text", ["a.b+c@d-e.co.uk", "+44 (20) 7946 0958", "(555) 123-4567", "10.20.30.40", "4111 1111 1111 1111", "4845168114407329", "123-45-6789", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "API_KEY: abcdEFGH1234", "DE89 3704 0044 0532 0130 00"])
+def test_kinds(text):
+    data = f"before {text} after".encode()
+    found = privacy.entities(data)
+    assert len(found) == 1 and re.search(privacy.MAYBE, data.decode())
+    cleaned, n, _ = privacy.clean(data, np.empty(0, int), np.empty(0, int), np.empty(0, np.uint64), {})
+    assert n == 1 and cleaned.startswith(b"before <") and cleaned.rstrip(b'"').endswith(b"> after".rstrip(b'"')) or b"after" in cleaned
+
+
+def test_sanitise_odd_rows(odd_docs, no_docs):
+    rows = privacy.sanitise(odd_docs).collect()
+    assert len(rows) == 10 and sum(r.text is None for r in rows) == 1
+    assert privacy.sanitise(no_docs).collect() == []
