@@ -25,7 +25,7 @@ def merge_runs(runs: list[DataFrame], key: list[str], drop_tombstones: bool = Fa
     out = None
     for age, run in enumerate(runs):
         tagged = run.withColumn("_age", F.lit(-age))
-        out = tagged if out is None else out.unionByName(tagged)
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     merged = newest(out, key, ["_age"]).drop("_age")
     return merged.filter(~F.col(tombstone)) if drop_tombstones else merged
 

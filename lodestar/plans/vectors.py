@@ -297,3 +297,59 @@ ORACLES = {
     "index_memory_bytes": "select b as bits, d * 33 as dim, ceil(d * 33 * b / 8)::bigint as code_bytes, ceil(d * 33 * b / 8)::bigint * 1000 + 32 * d * 33 * 4 as bytes from range(1, 9) r(b), range(1, 5) s(d)",
     "rabitq_error_bound": "select b as bits, d * 32 as dim, round(pow(2.0, -b) * 5.75 / sqrt((d * 32)::double), 12) as bound from range(1, 9) r(b), range(1, 5) s(d)",
 }
+
+
+# -- approximate searches: no SQL; tests hold their recall against the exact search ------------------
+def ivf_rabitq_search(spark, sf):
+    from lodestar.operators.ivf import IvfConfig, IvfIndex
+
+    index = IvfIndex.build(_vectors(spark, sf), IvfConfig(clusters=22, bits=5))
+    return index.search(_queries(spark, sf, 50), _vectors(spark, sf), K, nprobe=16).select("query_id", "id", "distance")
+
+
+def vector_store_search(spark, sf):
+    from lodestar.operators.ivf import IvfConfig
+    from lodestar.operators.store import VectorStore
+    from lodestar.runtime import scratch
+
+    store = VectorStore(spark, scratch(spark, "vector-store"), 64, IvfConfig(clusters=16, bits=5), training_threshold=200)
+    store.insert(_vectors(spark, sf))
+    store.delete(_vectors(spark, sf).filter("id % 10 = 9"))
+    store.rebuild_index()
+    return store.search(_queries(spark, sf, 20), K, nprobe=16, candidates=50).select("query_id", "id", "distance")
+
+
+def graph_search(spark, sf):
+    from lodestar.operators import graph
+    from lodestar.runtime import cut
+
+    index = cut(graph.build_sharded(_vectors(spark, sf), 4))
+    return graph.search_sharded(index, _queries(spark, sf, 50), K, 40).select("query_id", "id", "distance")
+
+
+def symphony_search(spark, sf):
+    from lodestar.operators import graph
+    from lodestar.runtime import cut
+
+    index = cut(graph.build_sharded(_vectors(spark, sf), 4, "symphony"))
+    return graph.search_sharded(index, _queries(spark, sf, 50), K, 40, "symphony").select("query_id", "id", "distance")
+
+
+def deg_search(spark, sf, alpha=0.5, config=None):
+    from lodestar.operators import deg
+    from lodestar.runtime import cut
+
+    m = tuple(_maxima(spark, sf).first())
+    config = config or deg.DegConfig(build_pool=64)
+    index = cut(deg.build_sharded(_objects(spark, sf), m, 8, config))
+    return deg.search_sharded(index, _hybrid_queries(spark, sf), m, alpha, K, 48, config).select("query_id", "id", "distance")
+
+
+def fusion_search(spark, sf):
+    from lodestar.operators.deg import DegConfig
+
+    return deg_search(spark, sf, 0.5, DegConfig(build_pool=64, fixed_alpha=0.5))
+
+
+for _f in (ivf_rabitq_search, vector_store_search, graph_search, symphony_search, deg_search, fusion_search):
+    QUERIES[_f.__name__] = _f
