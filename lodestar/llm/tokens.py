@@ -130,4 +130,5 @@ def token_counts(docs: DataFrame, *, tokenizer: str = TOKENIZER, separator: int
     folder = scratch(spark, "tokens")
     rows = write_token_files(docs, folder, tokenizer=tokenizer, separator=separator)
     counts = scan(spark, folder, separator=separator, block_bytes=block_bytes)
-    return rows.join(counts, ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "n_tokens")
+    # the planner takes counts for as small as the list of files that they come from, and would broadcast them
+    return rows.join(counts.hint("merge"), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "n_tokens")
