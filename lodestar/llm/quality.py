@@ -119,9 +119,10 @@ class Rows:
             some = keep[block[0]]
             self.blocks[k] = (lo, n, totals, *(x[some] for x in block))
 
-    def of(self, power: float, scaled: bool) -> "Rows":
-        """Set values for one head: counts over totals to ``power``; if ``scaled``, each slot's usual
-        value where it occurs becomes 1 in training."""
+    def of(self, power: float, scaled: bool, y: np.ndarray, use: np.ndarray) -> "Rows":
+        """Set values for one head: counts over totals to ``power``. If ``scaled``, a slot's usual value where
+        it occurs becomes, in training, how many deviations its share of positive rows (of those that
+        ``use`` marks) is off the share of all: a penalty then weighs on chance more than on evidence."""
         self.power = power
         self.scale = np.where(self.df >= LEAST_ROWS, 1.0, 0.0)
         if not scaled:
@@ -130,6 +131,13 @@ class Rows:
         for block in self.blocks:
             square += np.bincount(block[3], self._values(block) ** 2, 1 << BITS)
         self.scale = np.where(square > 0, 1 / np.sqrt(np.maximum(square, 1e-30) / np.maximum(self.df, 1)), 0)
+        share = y[use].mean()
+        seen, positive = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for lo, n, _, slots, rows, _, _ in self.blocks:
+            w = use[lo : lo + n].astype(np.float32)
+            seen += np.bincount(slots, w[rows], 1 << BITS)
+            positive += np.bincount(slots, (w * y[lo : lo + n])[rows], 1 << BITS)
+        self.scale *= np.abs(positive - share * seen) / np.sqrt(share * (1 - share) * seen + 1)
         return self
 
     def _values(self, block) -> np.ndarray:
@@ -223,7 +231,7 @@ def train(rows: list[tuple[str, int, int]]) -> dict:
             share = (y.sum() + 1) / (len(y) + 2)
             heads.append((np.zeros(1 << BITS, np.float32), 0.0, float(np.log(share / (1 - share)))))
             continue
-        w, b = fit(x.of(POWERS[k - 1], SCALED[k - 1]), y, ~held, l2=L2[k - 1])
+        w, b = fit(x.of(POWERS[k - 1], SCALED[k - 1], y, ~held), y, ~held, l2=L2[k - 1])
         z = x.dot(np.divide(w, x.scale, out=np.zeros(1 << BITS), where=x.scale > 0)) + b
         a, c = platt(z[held], y[held])
         heads.append((w, a, a * b + c))
