@@ -16,6 +16,7 @@ bound, covers whole texts and runs in Arrow batches with one pass over the bytes
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -242,13 +243,28 @@ def probabilities(col: pa.Array, model: dict) -> np.ndarray:
     return _sigmoid(margins(col, model["weights"]) * model["scale"] + model["shift"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int, int]]:
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Up to ``sample`` labelled rows with their texts, those of lowest id hash; null labels don't count."""
     picked = labels.filter("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("_id"), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_x"))
     picked = picked.orderBy(F.md5(F.col("_id").cast("string")), "_q", "_x").limit(sample)
     got = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # of ``sample`` rows at most
-    got = got.select("_id", "text", "_q", "_x").orderBy(F.md5(F.col("_id").cast("string")), "text", "_q", "_x").limit(sample)
-    return [(r[1], int(r[2] > 0), int(r[3] > 0)) for r in got.collect()]
+    return got.select("_id", "text", "_q", "_x").orderBy(F.md5(F.col("_id").cast("string")), "text", "_q", "_x").limit(sample)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int, int]]:
+    """labelled_rows() as ``(text, quality, toxic)``."""
+    return [(r[1], int(r[2] > 0), int(r[3] > 0)) for r in labelled_rows(docs, labels, sample).collect()]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """train() on the labelled sample, as one task; the driver gets the weights alone."""
+
+    def run(batches):
+        rows = [(t, int(q > 0), int(x > 0)) for b in batches for t, q, x in zip(*(b.column(c).to_pylist() for c in ("text", "_q", "_x")))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
+
+    out = labelled_rows(docs, labels, sample).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(out[0][0]) if out else train([])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -277,12 +293,12 @@ def kept(scored: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
-    model = train(labelled(docs, table(spark, sf_dir, "labels")))
+    model = fitted(docs, table(spark, sf_dir, "labels"))
     return kept(score(docs, model)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """``(doc_id, p_quality, p_toxic)`` of the documents that the rules keep."""
     docs = table(spark, sf_dir, "documents")
-    model = train(labelled(docs, table(spark, sf_dir, "labels")))
+    model = fitted(docs, table(spark, sf_dir, "labels"))
     return kept(score(docs.select("doc_id", "text"), model)).select("doc_id", F.col("_p_quality").alias("p_quality"), F.col("_p_toxic").alias("p_toxic"))
