@@ -32,7 +32,11 @@ class StoreConfig:
 
 
 class KeyedStore:
-    """``key`` columns may be of any type that Parquet orders as Spark does: numbers, strings, bytes."""
+    """``key`` columns may be of any type that Parquet orders as Spark does: numbers, strings, bytes.
+
+    One writer at a time: of two that commit the same version one fails. Opening a store sweeps files
+    that its latest manifest doesn't name, so versions from before the last merge can then not be read.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: str = "key", config: StoreConfig | None = None):
         self.spark, self.folder, self.key, self.config = spark, folder.rstrip("/"), key, config or StoreConfig()
