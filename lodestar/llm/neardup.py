@@ -258,11 +258,14 @@ def linked(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     heads = _singles(buckets)
     for depth in range(DEPTH + 1):
         most = CROWD if depth < DEPTH else 1 << 62
+        star = depth == 0  # at first only that, which folds large groups at little cost
         while True:
             heads = cut(_heads(heads, comps))
-            todo = cut(_star(heads).join(done, ["a", "b"], "left_anti"))
-            if todo.isEmpty():
-                todo = cut(_each(heads.filter(F.col("c") <= most)).join(done, ["a", "b"], "left_anti"))
+            small, crowded = heads.filter(F.col("c") <= most), heads.filter(F.col("c") > most)
+            todo = cut(_star(heads).join(done, ["a", "b"], "left_anti")) if star else None
+            if todo is None or todo.isEmpty():
+                star = False
+                todo = cut(_each(small).union(_star(crowded)).distinct().join(done, ["a", "b"], "left_anti"))
             if todo.isEmpty():
                 break
             done = done.union(todo)
@@ -270,7 +273,6 @@ def linked(docs: DataFrame, sketches: DataFrame) -> DataFrame:
             edges = edges.union(new)
             if not _mutual(new).isEmpty():
                 comps = components(_mutual(edges))
-        crowded = heads.filter(F.col("c") > most)
         if crowded.isEmpty():
             break
         heads = _singles(cut(shared_buckets(_refined(crowded, sketches))))
