@@ -1,21 +1,22 @@
-"""Near-duplicates by a containment ensemble over MinHash.
+"""Near-duplicates by exact containment search.
 
-A document is the set of its runs of K words, in lower case. Documents are partitioned by set size,
-in powers of two. A document of q shingles that is contained to T in one of a partition whose
-largest set has u has Jaccard similarity T / (u / q + 1 - T) at least; each distance between
-partitions gets a banding of its own for that bound (BANDING). Candidates are then held against the
-sets themselves: the share of the smaller set that lies in the larger one must be T at least.
+A document is the set of its runs of K words, in lower case. A set that is contained to T in another
+shares all but (1 - T) of its n shingles with it, so of any n - ceil(T n) + 1 of its shingles one at
+least is in the other one. Each document asks for that many of its own, the rarest in the corpus;
+shingles that no other document has come first, and a document of which they are enough has no
+container. Every document lies in the buckets of all its shingles, so no pair is missed, whatever the
+ratio of sizes. Candidates are then held against the sets themselves: the share of the smaller set
+that lies in the larger one must be T at least.
 
 Two sets that hold each other to T are copies; copies of copies form a group (connected
 components). A set that is only contained in a larger one joins that one's group but ties nothing
 together, so two long documents that quote one short one stay apart. The largest document of a
 group, of equals the one of least id, is the one to keep.
 
-Groups may have any size, so candidates are not enumerated as pairs inside hot buckets. Exact copies
-are folded first. Each document is held against the top that most of its buckets have; then, bucket
-by bucket, components that are still apart are compared through their top members there, at first
-with the bucket's top alone, as long as that is new, and then each with each (crowded buckets are
-split first, see CROWD), until no bucket holds an uncompared pair of components. A group of n copies costs about n comparisons.
+Groups may have any size. Exact copies are folded first. Each document is held against the top that
+most of its buckets have, then components against the tops of their buckets and against a few other
+hubs, which folds large groups at little cost. At last every document is held against every member
+of its buckets that is still in another component, so each candidate pair is merged or checked.
 """
 
 from __future__ import annotations
@@ -29,20 +30,13 @@ from lodestar.runtime import cut
 
 K = 4
 T = 0.7
-PERMUTATIONS = 96
-#: Distance between size partitions -> (bands, rows of a band): the Jaccard bound at T = 0.7 is 0.30,
-#: 0.16 and 0.08. Fewer than two rows would make candidates of every pair with a common phrase.
-BANDING = {0: (32, 3), 1: (32, 2), 2: (32, 2)}
-#: A bucket of more components than this is split by further rows of the signatures before its
-#: components are compared each with each, and so are the parts that are still crowded. Copies, which
-#: agree in most rows, stay together in some part; what met by a common phrase falls apart.
-CROWD = 16
-FINER = 12
-#: After so many splits, parts are compared each with each whatever their size.
-DEPTH = 2
-_RNG = np.random.default_rng(20260101)
-_A = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
+#: Size partitions are powers of two; ``groups`` looks so many partitions further unless told otherwise.
+DISTANCE = 2
+#: Rounds in which components are compared with some hub of each bucket before members are.
+HUBS = 4
+#: Shingles of one part of the corpus' inverted list, and those that a task holds before it writes them.
+PART = 1 << 19
+HELD = 2_000_000
 
 
 def sets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,75 +53,84 @@ def sets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return v, vat, sums[0], sums[1]
 
 
-def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """MinHash signatures, texts by permutations; rows of texts without shingles are the largest number."""
-    n = np.diff(at)
-    out = np.full((len(n), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
-    some = n > 0
-    if some.any():
-        starts = at[:-1][some]
-        spread = values * np.uint32(0x9E3779B1)
-        spread ^= spread >> np.uint32(15)
-        for j in range(PERMUTATIONS):
-            out[some, j] = np.minimum.reduceat(spread * _A[j] + _B[j], starts)
-    return out
-
-
 def sketch(docs: DataFrame) -> DataFrame:
-    """``(doc_id, t1, t2, n, sig)`` of every row that has an id and a word."""
+    """``(doc_id, t1, t2, n)`` of every row that has an id and a word."""
 
     def run(batches):
         for batch in batches:
             for b in pieces(batch, "text", 1 << 20):
                 v, at, t1, t2 = sets_of(b.column("text"))
-                sig = signatures(v, at)
                 n = np.diff(at)
-                out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(t1), pa.array(t2), pa.array(n.astype(np.int32)), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "t1", "t2", "n", "sig"])
+                out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(t1), pa.array(t2), pa.array(n.astype(np.int32))], ["doc_id", "t1", "t2", "n"])
                 yield out.filter(pa.array(n > 0))
 
     picked = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, t1 long, t2 long, n int, sig binary")
+    return picked.mapInArrow(run, "doc_id long, t1 long, t2 long, n int")
 
 
-def band_keys(sketches: DataFrame) -> DataFrame:
-    """``(key, id, n, indexed, asks)``: the buckets in which a document lies, asks, or both."""
+def postings(docs: DataFrame, total: int) -> DataFrame:
+    """``(key, t1, df)``: the shingles that ``df > 1`` different texts have. ``total`` shingles are expected.
+
+    Shingles go to their part of the inverted list packed, 13 bytes each; a part is sorted in one task.
+    """
+    parts = max(16, total // PART)
+
+    def packed(keys, texts):
+        k, t = np.concatenate(keys), np.concatenate(texts)
+        part = ((k >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        k, t = k[order], t[order]
+        at = np.searchsorted(part[order], np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(at))
+        low, high = k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8)
+        cols = ([x[at[i] : at[i + 1]].tobytes() for i in some] for x in (low, high, t))
+        return pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c, pa.binary()) for c in cols)], ["part", "low", "high", "texts"])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
-            ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
-            size = np.frexp(n.astype(float))[1].astype(np.uint64)
-            keys, indexed, asks = [], [], []
-
-            def add(distance, target, is_indexed, does_ask):
-                bands, rows = BANDING[distance]
-                h = np.zeros((len(sig), bands), np.uint64)
-                for r in range(rows):
-                    h = mix64(h * np.uint64(31) + sig[:, r : bands * rows : rows].astype(np.uint64) + np.uint64(r + 1))
-                tag = mix64(np.arange(bands, dtype=np.uint64) + np.uint64(rows << 32))[None, :] ^ mix64(target + np.uint64(77))[:, None]
-                keys.append(mix64(h ^ tag).view(np.int64))
-                indexed.append(np.full(h.shape, is_indexed))
-                asks.append(np.full(h.shape, does_ask))
-
-            add(0, size, True, True)
-            add(1, size, True, False)
-            for distance in (1, 2):
-                add(distance, size + np.uint64(distance), False, True)
-            width = sum(k.shape[1] for k in keys)
-            k, i, a = (np.concatenate(x, 1).ravel() for x in (keys, indexed, asks))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(ids, width)), pa.array(np.repeat(n, width)), pa.array(i), pa.array(a)], ["key", "id", "n", "indexed", "asks"])
-
-    return sketches.mapInArrow(run, "key long, id long, n int, indexed boolean, asks boolean")
-
-
-def shared_buckets(keys: DataFrame) -> DataFrame:
-    """``(key, id, n, indexed, asks, top)`` of the buckets in which some document can find another."""
+        keys, texts, held = [], [], 0
+        for batch in batches:
+            for b in pieces(batch, "text", 1 << 20):
+                data, off = text_bytes(b.column("text"))
+                _, _, h, at = words(lower(data), off)
+                v, vat = distinct(*shingles(h, at, K))
+                keys.append(v)
+                texts.append(np.repeat(sets_of(b.column("text"))[2], np.diff(vat)))
+                held += len(v)
+                if held > HELD:
+                    yield packed(keys, texts)
+                    keys, texts, held = [], [], 0
+        if held:
+            yield packed(keys, texts)
+
+    def shared(t: pa.Table) -> pa.Table:
+        low, high, text = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("low", np.uint32), ("high", np.uint8), ("texts", np.int64)))
+        k = low.astype(np.int64) | high.astype(np.int64) << 32 | np.int64(t.column("part")[0].as_py()) << 40
+        order = np.lexsort((text, k))
+        k, text = k[order], text[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (text[1:] != text[:-1])])
+        k, text = k[new], text[new]
+        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        df = np.repeat(np.diff(edge), np.diff(edge))
+        some = df > 1
+        return pa.table({"key": k[some], "t1": text[some], "df": df[some].astype(np.int32)})
+
+    picked = docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, "part long, low binary, high binary, texts binary").groupBy("part").applyInArrow(shared, "key long, t1 long, df int")
+
+
+def shared_buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(key, id, n, asks, top)`` of the buckets in which some document can find another."""
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    found = postings(docs, total).join(reps.select("t1", "id", "n"), "t1")
+    by = W.partitionBy("id")
+    # one more than is needed, since two shingles may have one hash
+    most = F.col("n") - F.ceil(F.col("n") * T - 1e-9) + 2
+    asked = F.row_number().over(by.orderBy("df", "key")) <= most - (F.col("n") - F.count(F.lit(1)).over(by))
+    keys = found.select("key", "id", "n", asked.alias("asks"))
     w = W.partitionBy("key")
     rank = F.struct(F.col("n"), (-F.col("id")).alias("neg"))
-    found = keys.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("top", F.max(F.when(F.col("indexed"), rank)).over(w)).withColumn("asked", F.max("asks").over(w))
-    return found.filter("size > 1 and top is not null and asked").drop("size", "asked")
+    full = keys.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("top", F.max(rank).over(w)).withColumn("asked", F.max("asks").over(w))
+    return full.filter("size > 1 and asked").drop("size", "asked")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -143,8 +146,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
-def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs (a, b)`` with the sizes of both sets and of what they share, where the smaller lies in the larger to T."""
+def common(pairs: DataFrame, sets: DataFrame, distance: int | None = None) -> DataFrame:
+    """``pairs (a, b)`` with the sizes of both sets and of what they share, where the smaller lies in the larger to T
+    and, if ``distance`` is given, is so many partitions below it at most."""
 
     def run(batches):
 
@@ -162,7 +166,7 @@ def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     nb.append(len(xb.as_buffer()) // 4)
                     both.append(int((y[at] == x).sum()) if len(y) else 0)
                 out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(c, pa.int32()) for c in (na, nb, both))], ["a", "b", "na", "nb", "both"])
-                yield out.filter(pa.array([m >= T * min(i, j) and m > 0 for i, j, m in zip(na, nb, both)]))
+                yield out.filter(pa.array([m >= T * min(i, j) and m > 0 and (distance is None or abs(i.bit_length() - j.bit_length()) <= distance) for i, j, m in zip(na, nb, both)], pa.bool_()))
 
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -196,100 +200,65 @@ def _mutual(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("both") >= F.lit(T) * F.greatest("na", "nb"))
 
 
-def _singles(buckets: DataFrame) -> DataFrame:
-    """Bucket members, each as a component of its own: ``(key, comp, x, y)``, x where indexed and y where asking."""
-    rank = F.struct("n", (-F.col("id")).alias("neg"))
-    return buckets.select("key", F.col("id").alias("comp"), F.when(F.col("indexed"), rank).alias("x"), F.when(F.col("asks"), rank).alias("y"))
-
-
-def _heads(heads: DataFrame, comps: DataFrame) -> DataFrame:
-    """``heads`` under the components of now: for each bucket that still holds ``c > 1``, the top indexed
-    and asking member of each. Components only grow, so what a round leaves is all that the next needs."""
-    m = heads.join(comps.select(F.col("id").alias("comp"), F.col("comp").alias("now")), "comp", "left").withColumn("comp", F.coalesce("now", "comp"))
-    now = m.groupBy("key", "comp").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    return now.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("c > 1")
+def _now(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` under the components of now, of the buckets that still hold two or more."""
+    m = rows.join(comps.select(F.col("id").alias("comp"), F.col("comp").alias("now")), "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+    w = W.partitionBy("key")
+    return m.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo < hi").drop("lo", "hi")
 
 
-def _star(heads: DataFrame) -> DataFrame:
-    """``(a, b)``: a bucket's top with the head of each of its other components."""
-    up = heads.withColumn("top", F.max("x").over(W.partitionBy("key"))).filter("y is not null and (x is null or x < top) and top > y")
-    return up.select((-F.col("top.neg")).alias("a"), (-F.col("y.neg")).alias("b")).distinct()
+def _hub(members: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``, a above b: the top of some component of each bucket, that of the top member in turn 0, and of each other one."""
+    heads = members.groupBy("key", "comp").agg(F.max("x").alias("x"), F.max("asks").alias("asks"))
+    first = F.col("x") if turn == 0 else F.struct(F.xxhash64("comp", F.lit(turn)), "comp")
+    hub = heads.withColumn("hub", F.max(F.struct(first.alias("by"), "x", "asks")).over(W.partitionBy("key"))).filter(F.col("hub.x") != F.col("x"))
+    pair = hub.filter(F.when(F.col("hub.x") > F.col("x"), F.col("asks")).otherwise(F.col("hub.asks")))
+    return pair.select((-F.greatest("x", "hub.x")["neg"]).alias("a"), (-F.least("x", "hub.x")["neg"]).alias("b")).distinct()
 
 
-def _each(heads: DataFrame) -> DataFrame:
-    """``(a, b)``, a above b: the heads of every two components of a bucket that may find each other."""
-    left, right = heads.filter("x is not null").select("key", F.col("comp").alias("ca"), "x"), heads.filter("y is not null").select("key", F.col("comp").alias("cb"), "y")
+def _every(members: DataFrame) -> DataFrame:
+    """``(a, b)``, a above b: each member that asks in a bucket and each larger one there of another component."""
+    left, right = members.select("key", F.col("comp").alias("ca"), "x"), members.filter("asks").select("key", F.col("comp").alias("cb"), F.col("x").alias("y"))
     pair = left.join(right, "key").filter("ca != cb").filter(F.col("x") > F.col("y"))
     return pair.select((-F.col("x.neg")).alias("a"), (-F.col("y.neg")).alias("b")).distinct()
 
 
-def _refined(heads: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Crowded buckets split by two more rows of the signatures, in FINER ways each, drawn by the bucket's key."""
-    side = lambda c: heads.filter(f"{c} is not null").select("key", (-F.col(f"{c}.neg")).alias("id"), F.col(f"{c}.n").alias("n"), F.lit(c == "x").alias("indexed"), F.lit(c == "y").alias("asks"))
-    members = side("x").union(side("y")).groupBy("key", "id", "n").agg(F.max("indexed").alias("indexed"), F.max("asks").alias("asks"))
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
-            key = b.column("key").to_numpy().view(np.uint64)
-            way = mix64(key[:, None] + np.arange(1, FINER + 1, dtype=np.uint64)[None])
-            row = np.arange(len(sig))[:, None]
-            fine = way.copy()
-            for shift in (0, 24):
-                fine = mix64(fine * np.uint64(31) + sig[row, (way >> np.uint64(shift)).astype(np.uint32) % PERMUTATIONS])
-            each = [b.column(c).take(pa.array(np.repeat(np.arange(len(sig)), FINER))) for c in ("id", "n", "indexed", "asks")]
-            yield pa.RecordBatch.from_arrays([pa.array(fine.ravel().view(np.int64)), *each], ["key", "id", "n", "indexed", "asks"])
-
-    return members.join(sketches.select("id", "sig"), "id").mapInArrow(run, "key long, id long, n int, indexed boolean, asks boolean")
-
-
-def linked(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Verified edges ``(a, b, na, nb, both)`` among ``sketches (id, n, sig)``, enough for the groups."""
-    buckets = cut(shared_buckets(band_keys(sketches)))
+def linked(docs: DataFrame, reps: DataFrame, distance: int | None = DISTANCE) -> DataFrame:
+    """Verified edges ``(a, b, na, nb, both)`` among ``reps (id, n, t1)``: all those between components of copies."""
+    buckets = cut(shared_buckets(docs, reps))
     sets = cut(shingle_sets(docs, buckets.select("id").distinct()))
     # the top that most of a document's buckets have
     seen = buckets.filter(F.col("asks") & (F.col("id") != -F.col("top.neg"))).groupBy("id", "top").agg(F.count(F.lit(1)).alias("c"))
     best = seen.groupBy("id").agg(F.max(F.struct("c", "top"))["top"].alias("top"))
-    todo = done = cut(best.select((-F.col("top.neg")).alias("a"), F.col("id").alias("b")))
-    edges = cut(common(todo, sets))
+    done = cut(best.select((-F.col("top.neg")).alias("a"), F.col("id").alias("b")))
+    edges = cut(common(done, sets, distance))
     comps = components(_mutual(edges))
-    heads = _singles(buckets)
-    for depth in range(DEPTH + 1):
-        most = CROWD if depth < DEPTH else 1 << 62
-        star = depth == 0  # at first only that, which folds large groups at little cost
-        while True:
-            heads = cut(_heads(heads, comps))
-            small, crowded = heads.filter(F.col("c") <= most), heads.filter(F.col("c") > most)
-            todo = cut(_star(heads).join(done, ["a", "b"], "left_anti")) if star else None
-            if todo is None or todo.isEmpty():
-                star = False
-                todo = cut(_each(small).union(_star(crowded)).distinct().join(done, ["a", "b"], "left_anti"))
-            if todo.isEmpty():
-                break
-            done = done.union(todo)
-            new = cut(common(todo, sets))
-            edges = edges.union(new)
-            if not _mutual(new).isEmpty():
-                comps = components(_mutual(edges))
-        if crowded.isEmpty():
-            break
-        heads = _singles(cut(shared_buckets(_refined(crowded, sketches))))
-    return edges
-
-
-def groups(docs: DataFrame) -> DataFrame:
+    members = buckets.select("key", F.col("id").alias("comp"), F.struct("n", (-F.col("id")).alias("neg")).alias("x"), "asks")
+    for turn in range(HUBS):
+        members = cut(_now(members, comps))
+        todo = cut(_hub(members, turn).join(done, ["a", "b"], "left_anti"))
+        if todo.isEmpty():
+            continue
+        done = done.union(todo)
+        new = cut(common(todo, sets, distance))
+        edges = edges.union(new)
+        comps = components(_mutual(edges))
+    todo = cut(_every(_now(members, comps)).join(done, ["a", "b"], "left_anti"))
+    return edges.union(cut(common(todo, sets, distance)))
+
+
+def groups(docs: DataFrame, distance: int | None = DISTANCE) -> DataFrame:
     """``(doc_id, group_id, kept)`` of every document that is in a group of two or more.
 
     ``group_id`` is the id of the document to keep. Rows of one id are one document. Null ids, null
-    texts and texts without a word are in no group; an empty table gives no rows.
+    texts and texts without a word are in no group; an empty table gives no rows. A text that lies in
+    one more than ``distance`` size partitions above it is no copy of it; None sets no such bound.
     """
     s = cut(sketch(docs))
     fold = W.partitionBy("t1", "t2")
     exact = s.select("doc_id", "n", F.min("doc_id").over(fold).alias("id")).distinct()
-    reps = s.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("id", "n", "sig")
-    edges = linked(docs, reps)
+    reps = s.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
+    edges = linked(docs, reps, distance)
     comp = components(_mutual(edges))
     sized = edges.select(F.col("a").alias("id"), F.col("na").alias("n")).union(edges.select(F.col("b").alias("id"), F.col("nb").alias("n"))).distinct()
     head = sized.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -192,3 +192,36 @@ def test_decontaminate_odd_rows(spark, odd_docs, no_docs, docs_of):
     assert dc.leaks(no_docs, b).collect() == [] and dc.leaks(odd_docs, b.limit(0)).collect() == []
     passes = list(dc.passes(spark.createDataFrame([(i, "a b") for i in range(50)], "item_id long, text string"), 20))
     assert len(passes) == 3 and sorted(i for p in passes for i, _ in p) == list(range(50))
+
+
+def contained_pairs(texts):
+    """All pairs whose smaller set lies in the larger to T: (smaller, larger) -> (sizes, whether each holds the other)."""
+    sets = {i: frozenset(tuple(w[j : j + nd.K]) for j in range(max(1, len(w) - nd.K + 1))) for i, w in ((i, plain_words(t)) for i, t in texts.items()) if w}
+    out = {}
+    for i in sets:
+        for j in sets:
+            if (len(sets[i]), -i) < (len(sets[j]), -j) and len(sets[i] & sets[j]) >= nd.T * len(sets[i]):
+                out[i, j] = len(sets[i]), len(sets[j]), len(sets[i] & sets[j]) >= nd.T * len(sets[j])
+    return out
+
+
+def test_members_below_the_head_are_compared(spark, docs_of):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(4000)]
+    for share in (0.05, 0.06):
+        base = [rng.choice(vocab) for _ in range(200)]
+        texts = [" ".join(rng.choice(vocab) if rng.random() < share else w for w in base) for _ in range(150)]
+        pairs = contained_pairs(dict(enumerate(texts)))
+        parent = list(range(150))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for (i, j), (_, _, mutual) in pairs.items():
+            if mutual:
+                parent[find(i)] = find(j)
+        g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts)).collect()}
+        assert len({find(i) for i in range(150)}) < 75
+        assert all(i in g and g[i] == g.get(j) for i in range(150) for j in range(i) if find(i) == find(j))
