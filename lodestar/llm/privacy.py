@@ -37,8 +37,9 @@ KINDS = {
     "ID": rb"\b\d{3}-\d{2}-\d{4}\b",
 }
 PATTERN = re.compile(b"|".join(b"(?P<%s>%s)" % (k.encode(), p) for k, p in KINDS.items()))
-#: Every entity has three digits, or an at sign, or the name of a secret; the other texts needn't be searched.
-MAYBE = r"@|[0-9].{0,40}[0-9].{0,40}[0-9]|(?i:key|secret|token|password|passwd|pwd)|[A-Fa-f0-9]{32}|:[0-9a-fA-F]{1,4}:"
+#: Every entity has three digits, or an at sign, or the name of a secret, or begins like an access key or
+#: an account of few digits; the other texts needn't be searched.
+MAYBE = r"@|AKIA|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|[0-9].{0,40}[0-9].{0,40}[0-9]|(?i:key|secret|token|password|passwd|pwd)|[A-Fa-f0-9]{32}|:[0-9a-fA-F]{1,4}:"
 
 
 def entities(data: bytes) -> list[tuple[int, int, str, int]]:
