@@ -1,20 +1,20 @@
-"""Benchmark decontamination by SimHash over windows of the items' sizes.
+"""Benchmark decontamination by exact similarity over windows of the items' sizes.
 
 Texts are words in lower case without punctuation; features are pairs of neighbouring words, a
-pair's weight being its length in bytes. Item sizes are rounded down to size classes; an item's
-fingerprint, 64 bits, is that of its first words, as many as its class. Every window of a
-document of that size is fingerprinted and looked up in a multi-index: four tables by 16-bit block
-hold each item under all blocks within SUB_RADIUS bits, so that any fingerprint within RADIUS bits
-is found, whichever bits differ (of more than RADIUS = 4 * (SUB_RADIUS + 1) - 1 differing bits, and
-only then, all four blocks can have more than SUB_RADIUS). What is found is verified by the exact
-weighted similarity: the share of the item's weight that the item-sized window has.
-
-Windows in which the pairs of all items together don't have the weight that the exact check asks
-for can't pass it; they are skipped before fingerprinting, which loses nothing.
+pair's weight being its length in bytes. An item is in a document if some window of the item's size
+has LEAST of the item's weight. An inverted list of the items' pairs gives the weight of each item
+that a document has anywhere; items of which it has less than LEAST are in none of its windows. For
+the others, all windows are weighed at once: each pair of the item in the document counts for the
+windows that begin in a certain range, so running sums over the ends of these ranges are exact.
+No fingerprint decides; SimHash and its multi-index (``Index.classes``) are for lookups by
+fingerprint: four tables by 16-bit block hold each item under all blocks within SUB_RADIUS bits, so
+that any fingerprint within RADIUS bits is found. Near LEAST, similar windows differ in more bits
+than that (about 64 acos(s) / pi at similarity s), so they can't be searched that way.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -57,10 +57,9 @@ NEAR = np.array([sum(1 << i for i in c) for r in range(SUB_RADIUS + 1) for c in
 
 
 class Index:
-    """The items of a pass: by size class, multi-index tables and what exact checks need."""
+    """The items of a pass, and by word pair which items have it."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.classes: dict[int, dict] = {}
         self.items = []
         found = pa.array([t for _, t in items], pa.string())
         data, off = text_bytes(found)
@@ -72,8 +71,24 @@ class Index:
             p, w = pairs_of(h[a:b], end[a:b] - start[a:b])
             u, first = np.unique(p, return_index=True)
             size = size_class(int(b - a))
-            head = w[: size - 1]
-            self.items.append({"item": item, "words": int(b - a), "size": size, "pairs": u, "weights": w[first], "total": int(w[first].sum()), "print": fingerprints(p[None, : size - 1], head[None])[0], "need": max(1, int(head.sum() - (w.sum() - LEAST * w[first].sum())))})
+            self.items.append({"item": item, "words": int(b - a), "size": size, "pairs": u, "weights": w[first], "total": int(w[first].sum()), "head": (p[: size - 1], w[: size - 1])})
+        self.every = np.unique(np.concatenate([x["pairs"] for x in self.items])) if self.items else np.empty(0, np.uint64)
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.every >> np.uint64(42)).astype(np.int64)] = True
+        self.totals = np.array([x["total"] for x in self.items], np.int64)
+        self.need = max(1, int(LEAST * self.totals.min())) if self.items else 1
+        for x in self.items:
+            x["at"] = np.searchsorted(self.every, x["pairs"])
+        at, who, weight = (np.concatenate(c) if self.items else np.empty(0, np.int64) for c in ([x["at"] for x in self.items], [np.full(len(x["at"]), i) for i, x in enumerate(self.items)], [x["weights"] for x in self.items]))
+        order = np.argsort(at, kind="stable")
+        self.lists, self.who, self.weight = np.searchsorted(at[order], np.arange(len(self.every) + 1)), who[order], weight[order]
+
+    @cached_property
+    def classes(self) -> dict[int, dict]:
+        """By size class, multi-index tables of the items' fingerprints, which are set."""
+        for x in self.items:
+            x["print"] = fingerprints(x["head"][0][None], x["head"][1][None])[0]
+        out = {}
         for size in {x["size"] for x in self.items}:
             own = [i for i, x in enumerate(self.items) if x["size"] == size]
             prints = np.array([self.items[i]["print"] for i in own], np.uint64)
@@ -84,52 +99,44 @@ class Index:
                 who = np.repeat(np.array(own, np.int32), len(NEAR))
                 order = np.argsort(near, kind="stable")
                 tables.append((np.searchsorted(near[order], np.arange((1 << 16) + 1)), who[order]))
-            self.classes[size] = {"tables": tables, "pairs": np.unique(np.concatenate([self.items[i]["pairs"] for i in own])), "need": min(self.items[i]["need"] for i in own)}
-        every = np.unique(np.concatenate([x["pairs"] for x in self.items])) if self.items else np.empty(0, np.uint64)
-        self.every = every
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(every >> np.uint64(42)).astype(np.int64)] = True
-        self.need = min((c["need"] for c in self.classes.values()), default=1)
-
-    def has(self, pairs: np.ndarray, among: np.ndarray) -> np.ndarray:
-        out = self.seen[(pairs >> np.uint64(42)).astype(np.int64)]
-        some = np.flatnonzero(out)
-        at = np.searchsorted(among, pairs[some])
-        at[at == len(among)] = 0
-        out[some] = among[at] == pairs[some] if len(among) else False
+            out[size] = {"tables": tables}
         return out
 
-    def find(self, pairs: np.ndarray, weights: np.ndarray) -> dict[int, tuple[float, int]]:
-        """Items in a document's pairs: index of item -> best similarity and the word at which its window starts."""
+    def find(self, pairs: np.ndarray) -> dict[int, tuple[float, int]]:
+        """Items in a document's pairs: index of item -> best similarity and the word at which its first best window starts."""
         best: dict[int, tuple[float, int]] = {}
-        n = len(pairs)
-        for size, c in self.classes.items():
-            width = min(size - 1, n)
-            sums = np.concatenate([[0], np.cumsum(np.where(self.has(pairs, c["pairs"]), weights, 0))])
-            starts = np.flatnonzero(sums[width:] - sums[:-width] >= c["need"])
-            for lo in range(0, len(starts), 2048):
-                at = starts[lo : lo + 2048]
-                grid = at[:, None] + np.arange(width)[None]
-                prints = fingerprints(pairs[grid], weights[grid])
-                hits = set()
-                for block, (index, who) in enumerate(c["tables"]):
-                    v = (prints >> np.uint64(16 * block)).astype(np.uint16).astype(np.int64)
-                    for k in np.flatnonzero(index[v + 1] > index[v]):
-                        hits.update((int(k), int(i)) for i in who[index[v[k]] : index[v[k] + 1]])
-                for k, i in hits:
-                    x = self.items[i]
-                    if int(prints[k] ^ x["print"]).bit_count() <= RADIUS:
-                        s = similarity(x, pairs[at[k] : at[k] + x["words"] - 1])
-                        if s >= LEAST and (s, -int(at[k])) > (best[i][0], -best[i][1]) if i in best else s >= LEAST:
-                            best[i] = (s, int(at[k]))
+        place = np.flatnonzero(self.seen[(pairs >> np.uint64(42)).astype(np.int64)])
+        k = np.searchsorted(self.every, pairs[place])
+        k[k == len(self.every)] = 0
+        same = self.every[k] == pairs[place]
+        place, k = place[same], k[same]
+        if not len(k):
+            return best
+        order = np.lexsort((place, k))
+        place, k = place[order], k[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        before = np.where(new, -1, np.concatenate([[-1], place[:-1]]))
+        u = k[new]
+        count = self.lists[u + 1] - self.lists[u]
+        at = np.repeat(self.lists[u] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        have = np.bincount(self.who[at], self.weight[at], minlength=len(self.items))
+        for i in np.flatnonzero(have >= LEAST * self.totals - 1e-6):
+            x = self.items[i]
+            own = np.searchsorted(x["at"], k)
+            own[own == len(x["at"])] = 0
+            mine = x["at"][own] == k
+            p, w = place[mine], x["weights"][own[mine]]
+            # a pair counts once in a window: for those that begin after its last occurrence before
+            first = np.maximum(np.maximum(before[mine] + 1, p - x["words"] + 2), 0)
+            start, back = np.unique(np.concatenate([first, p + 1]), return_inverse=True)
+            sums = np.cumsum(np.bincount(back, np.concatenate([w, -w]).astype(np.float64)))
+            top = int(np.argmax(sums))
+            s = float(sums[top] / x["total"])
+            if s >= LEAST:
+                best[int(i)] = (s, int(start[top]))
         return best
 
 
-def similarity(item: dict, window: np.ndarray) -> float:
-    """The share of an item's weight whose pairs are in the window."""
-    return float(item["weights"][np.isin(item["pairs"], window)].sum() / item["total"])
-
-
 def found_in(col: pa.Array, index: Index) -> list[dict[int, tuple[float, int]]]:
     """For each text what ``find`` gives."""
     data, off = text_bytes(col)
@@ -146,7 +153,7 @@ def found_in(col: pa.Array, index: Index) -> list[dict[int, tuple[float, int]]]:
     for i in np.flatnonzero(sums[upto] - sums[np.minimum(at[:-1], len(w))] >= index.need):
         a, b = at[i], at[i + 1]
         if b - a >= 2:
-            out[i] = index.find(p[a : b - 1], w[a : b - 1])
+            out[i] = index.find(p[a : b - 1])
     return out
 
 

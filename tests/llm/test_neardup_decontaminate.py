@@ -225,3 +225,20 @@ def test_members_below_the_head_are_compared(spark, docs_of):
         g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts)).collect()}
         assert len({find(i) for i in range(150)}) < 75
         assert all(i in g and g[i] == g.get(j) for i in range(150) for j in range(i) if find(i) == find(j))
+
+
+def test_leaks_near_the_threshold_equal_every_window(spark, docs_of):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    items = {i: [rng.choice(vocab) for _ in range(rng.randint(15, 80))] for i in range(60)}
+    docs = {}
+    for k in range(300):
+        body = [rng.choice(vocab) for _ in range(150)]
+        at = rng.randrange(150)
+        body[at:at] = [rng.choice(vocab) if rng.random() < 0.02 * (k % 9) else w for w in items[k % 60]]
+        docs[k] = " ".join(body + ["end"])
+    want = plain_leaks(docs, {i: " ".join(w) for i, w in items.items()})
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.leaks(docs_of([docs[k] for k in range(300)]), b).collect()}
+    assert sum(s < 0.85 for s in want.values()) > 40
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got)
