@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestar.llm.textutil import distinct, lower, mix64, pieces, shingles, text_bytes, words
-from lodestar.runtime import cut
+from lodestar.runtime import cut, release
 
 K = 4
 T = 0.7
@@ -69,7 +69,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, total: int) -> DataFrame:
-    """``(key, t1, df)``: the shingles that ``df > 1`` different texts have. ``total`` shingles are expected.
+    """``(keys, texts, dfs)``: packed, the shingles that ``df > 1`` different texts have, t1 of these texts, and df. ``total`` shingles are expected.
 
     Shingles go to their part of the inverted list packed, 13 bytes each; a part is sorted in one task.
     """
@@ -112,25 +112,41 @@ def postings(docs: DataFrame, total: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
         df = np.repeat(np.diff(edge), np.diff(edge))
         some = df > 1
-        return pa.table({"key": k[some], "t1": text[some], "df": df[some].astype(np.int32)})
+        cols = k[some], text[some], df[some].astype(np.int32)
+        cuts = range(0, len(cols[0]), 1 << 16)
+        return pa.table({c: pa.array([x[i : i + (1 << 16)].tobytes() for i in cuts], pa.binary()) for c, x in zip(("keys", "texts", "dfs"), cols)})
 
     picked = docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "part long, low binary, high binary, texts binary").groupBy("part").applyInArrow(shared, "key long, t1 long, df int")
+    return picked.mapInArrow(run, "part long, low binary, high binary, texts binary").groupBy("part").applyInArrow(shared, "keys binary, texts binary, dfs binary")
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """``(key, t1, df)`` of what ``postings`` gives."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                cols = (pa.array(np.frombuffer(row[c], kind)) for c, kind in (("keys", np.int64), ("texts", np.int64), ("dfs", np.int32)))
+                yield pa.RecordBatch.from_arrays(list(cols), ["key", "t1", "df"])
+
+    return packed.mapInArrow(run, "key long, t1 long, df int")
 
 
 def shared_buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(key, id, n, asks, top)`` of the buckets in which some document can find another."""
+    """``(key, id, n, asks)`` of the buckets in which some document can find another."""
     total = reps.agg(F.sum("n")).first()[0] or 0
-    found = postings(docs, total).join(reps.select("t1", "id", "n"), "t1")
+    found = cut(postings(docs, total))
+    release(docs.sparkSession)  # the packed shingles, twice the input
+    found = unpacked(found).join(reps.select("t1", "id", "n"), "t1")
     by = W.partitionBy("id")
     # one more than is needed, since two shingles may have one hash
     most = F.col("n") - F.ceil(F.col("n") * T - 1e-9) + 2
     asked = F.row_number().over(by.orderBy("df", "key")) <= most - (F.col("n") - F.count(F.lit(1)).over(by))
     keys = found.select("key", "id", "n", asked.alias("asks"))
     w = W.partitionBy("key")
-    rank = F.struct(F.col("n"), (-F.col("id")).alias("neg"))
-    full = keys.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("top", F.max(rank).over(w)).withColumn("asked", F.max("asks").over(w))
-    return full.filter("size > 1 and asked").drop("size", "asked")
+    full = keys.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("least", F.min(F.when(F.col("asks"), F.struct("n", (-F.col("id")).alias("neg")))).over(w))
+    # what is smaller than all that ask is found by none of them
+    return full.filter("size > 1 and least is not null").filter(F.col("asks") | (F.struct("n", -F.col("id")) > F.col("least"))).drop("size", "least")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -226,16 +242,19 @@ def _every(members: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, reps: DataFrame, distance: int | None = DISTANCE) -> DataFrame:
     """Verified edges ``(a, b, na, nb, both)`` among ``reps (id, n, t1)``: all those between components of copies."""
     buckets = cut(shared_buckets(docs, reps))
+    release(docs.sparkSession)
     sets = cut(shingle_sets(docs, buckets.select("id").distinct()))
     # the top that most of a document's buckets have
-    seen = buckets.filter(F.col("asks") & (F.col("id") != -F.col("top.neg"))).groupBy("id", "top").agg(F.count(F.lit(1)).alias("c"))
+    rank = F.struct("n", (-F.col("id")).alias("neg"))
+    seen = buckets.withColumn("top", F.max(rank).over(W.partitionBy("key"))).filter(F.col("asks") & (F.col("id") != -F.col("top.neg"))).groupBy("id", "top").agg(F.count(F.lit(1)).alias("c"))
     best = seen.groupBy("id").agg(F.max(F.struct("c", "top"))["top"].alias("top"))
     done = cut(best.select((-F.col("top.neg")).alias("a"), F.col("id").alias("b")))
     edges = cut(common(done, sets, distance))
     comps = components(_mutual(edges))
-    members = buckets.select("key", F.col("id").alias("comp"), F.struct("n", (-F.col("id")).alias("neg")).alias("x"), "asks")
+    members = buckets.select("key", F.col("id").alias("comp"), rank.alias("x"), "asks")
     for turn in range(HUBS):
         members = cut(_now(members, comps))
+        release(docs.sparkSession)
         todo = cut(_hub(members, turn).join(done, ["a", "b"], "left_anti"))
         if todo.isEmpty():
             continue
@@ -243,6 +262,8 @@ def linked(docs: DataFrame, reps: DataFrame, distance: int | None = DISTANCE) ->
         new = cut(common(todo, sets, distance))
         edges = edges.union(new)
         comps = components(_mutual(edges))
+        if _mutual(new).count() < 0.1 * todo.count():
+            break
     todo = cut(_every(_now(members, comps)).join(done, ["a", "b"], "left_anti"))
     return edges.union(cut(common(todo, sets, distance)))
 

@@ -14,7 +14,7 @@ QUERIES = {
     "op6_token_store": lambda spark, sf: cas.store(table(spark, sf, "documents")),
     "op7_quality_rules": quality.query,
     "op8_sanitised": lambda spark, sf: privacy.sanitise(table(spark, sf, "documents")),
-    "op9_near_duplicates": lambda spark, sf: neardup.groups(table(spark, sf, "documents")),
+    "op9_near_duplicates": lambda spark, sf: neardup.groups(table(spark, sf, "documents"), None),
     "op10_decontamination": lambda spark, sf: decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
 }
 

@@ -242,3 +242,12 @@ def test_leaks_near_the_threshold_equal_every_window(spark, docs_of):
     got = {(r.doc_id, r.item_id): r.similarity for r in dc.leaks(docs_of([docs[k] for k in range(300)]), b).collect()}
     assert sum(s < 0.85 for s in want.values()) > 40
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def test_texts_contained_in_far_larger_ones_are_found(spark, docs_of):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(4000)]
+    large = [[rng.choice(vocab) for _ in range(600)] for _ in range(20)]
+    texts = [" ".join(w) for w in large] + [" ".join(w[100 : 100 + n]) for w, n in zip(large, range(8, 48, 2))]
+    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts), None).collect()}
+    assert g == {i: i % 20 for i in range(40)}
