@@ -251,3 +251,19 @@ def test_texts_contained_in_far_larger_ones_are_found(spark, docs_of):
     texts = [" ".join(w) for w in large] + [" ".join(w[100 : 100 + n]) for w, n in zip(large, range(8, 48, 2))]
     g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts), None).collect()}
     assert g == {i: i % 20 for i in range(40)}
+
+
+def test_recall_at_the_bound_of_each_distance(spark, docs_of):
+    rng = random.Random(22)
+    vocab = [f"w{i}" for i in range(4000)]
+    texts = []
+    for ratio in (1.9, 3.9, 7.5):
+        for _ in range(40):
+            small = [rng.choice(vocab) for _ in range(70)]
+            larger = small[:54] + [rng.choice(vocab) for _ in range(int(67 * ratio) - 51)]
+            texts += [" ".join(small), " ".join(larger)]
+    pairs = contained_pairs(dict(enumerate(texts)))
+    by = Counter(int(np.frexp(float(n))[1] - np.frexp(float(m))[1]) for m, n, _ in pairs.values())
+    assert by == {0: 40, 1: 40, 2: 40} or sum(by.values()) == 120
+    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts), None).collect()}
+    assert all(p[0] in g and g[p[0]] == g.get(p[1]) for p in pairs)
