@@ -267,3 +267,13 @@ def test_recall_at_the_bound_of_each_distance(spark, docs_of):
     assert by == {0: 40, 1: 40, 2: 40} or sum(by.values()) == 120
     g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts), None).collect()}
     assert all(p[0] in g and g[p[0]] == g.get(p[1]) for p in pairs)
+
+
+def test_containment_in_crowded_buckets(spark, docs_of):
+    rng = random.Random(23)
+    vocab = [f"w{i}" for i in range(4000)]
+    passage = [rng.choice(vocab) for _ in range(40)]
+    large = [passage + [rng.choice(vocab) for _ in range(200)] for _ in range(200)]
+    texts = [" ".join(w) for w in large] + [" ".join(large[i][15:70]) for i in range(30)]
+    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts)).collect()}
+    assert g == {i: i % 200 for i in [*range(30), *range(200, 230)]}
