@@ -13,7 +13,7 @@ STAGES = [
     ("sharding", sharding.stage),
 ]
 
-#: SQL can't express the trained model, MinHash and SimHash stages; tests/llm holds them against brute force.
+#: SQL can't express the trained model, near-duplicate and decontamination stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
