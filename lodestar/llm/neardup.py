@@ -1,26 +1,31 @@
-"""Near-duplicates by exact containment search.
-
-A document is the set of its runs of K words, in lower case. A set that is contained to T in another
-shares all but (1 - T) of its n shingles with it, so of any n - ceil(T n) + 1 of its shingles one at
-least is in the other one. Each document asks for that many of its own, the rarest in the corpus;
-shingles that no other document has come first, and a document of which they are enough has no
-container. Every document lies in the buckets of all its shingles, so no pair is missed, whatever the
-ratio of sizes. Candidates are then held against the sets themselves: the share of the smaller set
-that lies in the larger one must be T at least.
+"""Near-duplicates by a containment ensemble over MinHash signatures, with exact checks.
+
+A document is the set of its runs of K words, in lower case; it is a copy of another one if T of the
+smaller set lies in the larger one. Sets are put into partitions by size, STEPS to an octave. Of two
+sets d partitions apart, the larger has less than 2^((d + 1) / STEPS) times as many shingles, so a
+containment of T means a Jaccard similarity of T / (1 + that - T) at least. Each distance has a
+banding of its own (BANDING), with as many bands as find FOUND of the pairs at that bound. Further
+apart the bound falls as fast as sizes rise, and rows of MinHash with it. There the bands are
+single shingles: the smaller set asks with its SAMPLE least shingle hashes, and an inverted list
+holds all shingles of all sets. A set that holds T of it has at least ``needed`` of these in all but
+one case of a hundred, whatever the ratio of sizes, so asking with all but ``needed`` - 1 of them, the
+rarest, is enough. Nothing is found by an estimate alone: T is checked on the sets themselves.
 
 Two sets that hold each other to T are copies; copies of copies form a group (connected
 components). A set that is only contained in a larger one joins that one's group but ties nothing
 together, so two long documents that quote one short one stay apart. The largest document of a
 group, of equals the one of least id, is the one to keep.
 
-Groups may have any size. Exact copies are folded first. Each document is held against the top that
-most of its buckets have, then components against the tops of their buckets and against a few other
-hubs, which folds large groups at little cost. At last every document is held against every member
-of its buckets that is still in another component, so each candidate pair is merged or checked.
+Groups may have any size. Exact copies are folded first. Each set is held against the top that most
+of its buckets have, then components against the tops of their buckets and against a few other
+hubs, which folds large groups at little cost. At last every set is held against every member of
+its buckets that is still in another component, so each candidate pair is merged or checked.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -30,21 +35,56 @@ from lodestar.runtime import cut, release
 
 K = 4
 T = 0.7
-#: Size partitions are powers of two; ``groups`` looks so many partitions further unless told otherwise.
-DISTANCE = 2
+STEPS = 2
+#: Share of the pairs at a distance's Jaccard bound that its banding is to find.
+FOUND = 0.95
+
+
+def least_jaccard(distance: int) -> float:
+    """What a containment of T means at least for sets so many partitions apart."""
+    return T / (1 + 2 ** ((distance + 1) / STEPS) - T)
+
+
+def bands_for(distance: int, rows: int) -> tuple[int, int]:
+    return math.ceil(math.log(1 - FOUND) / math.log(1 - least_jaccard(distance) ** rows)), rows
+
+
+#: (bands, rows) by distance of partitions; from len(BANDING) on, smaller sets ask by their samples.
+BANDING = (bands_for(0, 3), bands_for(1, 2))
+FUNCTIONS = max(b * r for b, r in BANDING)
+SAMPLE = 24
 #: Rounds in which components are compared with some hub of each bucket before members are.
 HUBS = 4
-#: Shingles of one part of the corpus' inverted list, and those that a task holds before it writes them.
+#: Entries of one part of a packed shuffle, and shingles that a task holds before it writes them.
 PART = 1 << 19
-HELD = 2_000_000
+HELD = 3_000_000
+_SALTS = np.random.default_rng(7).integers(0, 1 << 32, (2, FUNCTIONS), dtype=np.uint32)
+
+
+def needed(n: int) -> int:
+    """How many of the sample of a set of ``n`` shingles a set that holds T of it has in 99 of 100 cases at least."""
+    m, c = min(SAMPLE, n), math.ceil(n * T - 1e-9)
+    miss, k = 0.0, 0
+    while True:  # hypergeometric: k of the sample are among the c that both have
+        miss += math.comb(c, k) * math.comb(n - c, m - k) / math.comb(n, m) if m - k <= n - c else 0
+        if miss > 0.01 or k == m:
+            return max(k, 1)
+        k += 1
+
+
+#: By size, from 1 on; larger sets need what the last one needs.
+NEEDED = [*(needed(n) for n in range(1, 200)), needed(100_000)]
+
+
+def partition_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(STEPS * np.log2(np.maximum(n, 1))).astype(np.int8)
 
 
 def sets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's distinct shingles (32 bits, ascending) and their offsets, and two hashes of its word sequence."""
+    """Each text's distinct shingles (64 bits, ascending) and their offsets, and two hashes of its word sequence."""
     data, off = text_bytes(col)
     _, _, h, at = words(lower(data), off)
-    s, sat = shingles(h, at, K)
-    v, vat = distinct((s >> np.uint64(32)).astype(np.uint32), sat)
+    v, vat = distinct(*shingles(h, at, K))
     sums = []
     place = np.arange(len(h), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
     for salt in (1, 2):
@@ -53,136 +93,242 @@ def sets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return v, vat, sums[0], sums[1]
 
 
+def signatures(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """MinHash signatures, a row for each set; sets must not be empty."""
+    x = (v >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(at) - 1, FUNCTIONS), np.uint32)
+    for i, (a, b) in enumerate(_SALTS.T):
+        h = (x ^ a) * (b | np.uint32(1))
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        out[:, i] = np.minimum.reduceat(h, at[:-1]) if len(h) else 0
+    return out
+
+
+def band_keys(sig: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Bucket keys, a row for each set; their last bit is the banding. Those of distance 0 are of one partition each."""
+    out = []
+    for d, (bands, rows) in enumerate(BANDING):
+        for k in range(bands):
+            key = np.full(len(sig), (d << 16 | k) + 1, np.uint64)
+            if d == 0:
+                key += part.astype(np.uint64) << np.uint64(32)
+            for r in range(rows):
+                key = mix64(key) + sig[:, k * rows + r]
+            out.append(mix64(key) & ~np.uint64(1) | np.uint64(d))
+    return np.stack(out, 1)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """``(doc_id, t1, t2, n)`` of every row that has an id and a word."""
+    """``(doc_id, id, t2, n, part, bands, shingles)`` of every row that has an id and a word; ``id`` is a hash of its words."""
 
     def run(batches):
         for batch in batches:
             for b in pieces(batch, "text", 1 << 20):
                 v, at, t1, t2 = sets_of(b.column("text"))
+                some = np.flatnonzero(np.diff(at))
+                if not len(some):
+                    continue
+                at = np.append(at[:-1][some], len(v))
                 n = np.diff(at)
-                out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(t1), pa.array(t2), pa.array(n.astype(np.int32))], ["doc_id", "t1", "t2", "n"])
-                yield out.filter(pa.array(n > 0))
+                part = partition_of(n)
+                keys = band_keys(signatures(v, at), part)
+                short = (v >> np.uint64(32)).astype(np.uint32)
+                own = pa.array(some)
+                cols = [b.column("doc_id").take(own), pa.array(t1[some]), pa.array(t2[some]), pa.array(n.astype(np.int32)), pa.array(part), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "t2", "n", "part", "bands", "shingles"])
 
     picked = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, t1 long, t2 long, n int")
+    return picked.mapInArrow(run, "doc_id long, id long, t2 long, n int, part byte, bands binary, shingles binary")
 
 
-def postings(docs: DataFrame, total: int) -> DataFrame:
-    """``(keys, texts, dfs)``: packed, the shingles that ``df > 1`` different texts have, t1 of these texts, and df. ``total`` shingles are expected.
+def _by_part(part: np.ndarray, parts: int, *cols: np.ndarray):
+    """The parts that occur and, for each column, the bytes of its entries in each."""
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(at))
+    return some, [pa.array([y[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for y in (x[order] for x in cols)]
 
-    Shingles go to their part of the inverted list packed, 13 bytes each; a part is sorted in one task.
-    """
-    parts = max(16, total // PART)
-
-    def packed(keys, texts):
-        k, t = np.concatenate(keys), np.concatenate(texts)
-        part = ((k >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        k, t = k[order], t[order]
-        at = np.searchsorted(part[order], np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(at))
-        low, high = k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint8)
-        cols = ([x[at[i] : at[i + 1]].tobytes() for i in some] for x in (low, high, t))
-        return pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c, pa.binary()) for c in cols)], ["part", "low", "high", "texts"])
 
-    def run(batches):
-        keys, texts, held = [], [], 0
-        for batch in batches:
-            for b in pieces(batch, "text", 1 << 20):
-                data, off = text_bytes(b.column("text"))
-                _, _, h, at = words(lower(data), off)
-                v, vat = distinct(*shingles(h, at, K))
-                keys.append(v)
-                texts.append(np.repeat(sets_of(b.column("text"))[2], np.diff(vat)))
-                held += len(v)
-                if held > HELD:
-                    yield packed(keys, texts)
-                    keys, texts, held = [], [], 0
-        if held:
-            yield packed(keys, texts)
+def _joined(t: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
-    def shared(t: pa.Table) -> pa.Table:
-        low, high, text = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("low", np.uint32), ("high", np.uint8), ("texts", np.int64)))
-        k = low.astype(np.int64) | high.astype(np.int64) << 32 | np.int64(t.column("part")[0].as_py()) << 40
-        order = np.lexsort((text, k))
-        k, text = k[order], text[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (text[1:] != text[:-1])])
-        k, text = k[new], text[new]
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-        df = np.repeat(np.diff(edge), np.diff(edge))
-        some = df > 1
-        cols = k[some], text[some], df[some].astype(np.int32)
-        cuts = range(0, len(cols[0]), 1 << 16)
-        return pa.table({c: pa.array([x[i : i + (1 << 16)].tobytes() for i in cuts], pa.binary()) for c, x in zip(("keys", "texts", "dfs"), cols)})
 
-    picked = docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "part long, low binary, high binary, texts binary").groupBy("part").applyInArrow(shared, "keys binary, texts binary, dfs binary")
+def _packed(names: str, *cols: np.ndarray) -> pa.Table:
+    cuts = range(0, len(cols[0]), 1 << 16)
+    return pa.table({c: pa.array([x[i : i + (1 << 16)].tobytes() for i in cuts], pa.binary()) for c, x in zip(names.split(), cols)})
 
 
-def unpacked(packed: DataFrame) -> DataFrame:
-    """``(key, t1, df)`` of what ``postings`` gives."""
+def _unpacked(packed: DataFrame, schema: str, *kinds) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                cols = (pa.array(np.frombuffer(row[c], kind)) for c, kind in (("keys", np.int64), ("texts", np.int64), ("dfs", np.int32)))
-                yield pa.RecordBatch.from_arrays(list(cols), ["key", "t1", "df"])
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(c)[i].as_py(), k)) for c, k in zip(names, kinds)], names)
 
-    return packed.mapInArrow(run, "key long, t1 long, df int")
+    return packed.mapInArrow(run, schema)
 
 
-def shared_buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(key, id, n, asks)`` of the buckets in which some document can find another."""
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    found = cut(postings(docs, total))
-    release(docs.sparkSession)  # the packed shingles, twice the input
-    found = unpacked(found).join(reps.select("t1", "id", "n"), "t1")
-    by = W.partitionBy("id")
-    # one more than is needed, since two shingles may have one hash
-    most = F.col("n") - F.ceil(F.col("n") * T - 1e-9) + 2
-    asked = F.row_number().over(by.orderBy("df", "key")) <= most - (F.col("n") - F.count(F.lit(1)).over(by))
-    keys = found.select("key", "id", "n", asked.alias("asks"))
-    w = W.partitionBy("key")
-    full = keys.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("least", F.min(F.when(F.col("asks"), F.struct("n", (-F.col("id")).alias("neg")))).over(w))
-    # what is smaller than all that ask is found by none of them
-    return full.filter("size > 1 and least is not null").filter(F.col("asks") | (F.struct("n", -F.col("id")) > F.col("least"))).drop("size", "least")
+def shared_buckets(s: DataFrame, total: int) -> DataFrame:
+    """``(key, id, part)`` of the buckets in which two different sets of ``s`` are that may be as far apart as its banding says.
 
+    Keys go to their part of the table packed, 17 bytes each, and are sorted there; ``total`` sets are expected.
+    """
+    width = sum(b for b, _ in BANDING)
+    parts = max(16, total * width // PART)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD // width):
+                b = batch.slice(at, HELD // width)
+                key = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.uint64)
+                ids, part = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), width) for c in ("id", "part"))
+                some, cols = _by_part(((key >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), parts, key, ids, part)
+                yield pa.RecordBatch.from_arrays([pa.array(some), *cols], ["at", "key", "id", "part"])
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, shingles)`` of the documents of ``ids``."""
+    def shared(t: pa.Table) -> pa.Table:
+        key, ids, part = (_joined(t, *c) for c in (("key", np.uint64), ("id", np.int64), ("part", np.int8)))
+        order = np.lexsort((ids, key))
+        key, ids, part = key[order], ids[order], part[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+        key, ids, part = key[new], ids[new], part[new]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(first, len(key)))
+        apart = np.maximum.reduceat(part, first) - np.minimum.reduceat(part, first)
+        use = np.repeat((count > 1) & ((key[first] & np.uint64(1) == 0) | (apart > 0)), count)
+        return _packed("key id part", key[use].view(np.int64), ids[use], part[use])
+
+    found = s.select("id", "part", "bands").mapInArrow(run, "at long, key binary, id binary, part binary").groupBy("at").applyInArrow(shared, "key binary, id binary, part binary")
+    return _unpacked(cut(found), "key long, id long, part byte", np.int64, np.int64, np.int8)
+
+
+def inverted(docs: DataFrame, total: int) -> DataFrame:
+    """``(key, ref, part, more, id)`` of the shingles by which some set can find one that is len(BANDING) partitions larger or more.
+
+    Askers have in ``more`` how many such sets have the shingle, what they may find has 0 there.
+    ``total`` shingles are expected. A task writes its sets in rounds, numbered by partition, so that a
+    shingle takes 6 bytes: its distance from the one before, the set's number, and whether it is in the sample.
+    """
+    parts = max(16, total // PART)
+    far = len(BANDING)
+
+    def packed(texts, sets):
+        id_, first = np.unique(np.concatenate(texts), return_index=True)
+        sets = [x for group in sets for x in group]
+        n = np.array([len(sets[i]) for i in first])
+        order = np.argsort(partition_of(n), kind="stable")
+        id_, n, sets = id_[order], n[order], [sets[first[i]] for i in order]
+        starts = np.searchsorted(partition_of(n), np.arange(128)).astype(np.uint16)
+        round_ = int(np.bitwise_xor.reduce(mix64(id_.view(np.uint64) + np.arange(len(id_), dtype=np.uint64)))) >> 17
+        v = np.concatenate(sets)
+        who = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+        ask = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) < SAMPLE
+        who |= ask.astype(np.uint16) << np.uint16(15)
+        part = ((v & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((v, part))
+        part, key, who = part[order], v[order] >> np.uint64(24), who[order]
+        gap = np.diff(key, prepend=np.uint64(0))
+        at = np.searchsorted(part, np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(at))
+        gap[at[some]] = key[at[some]]
+        high = (gap >> np.uint64(32)).astype(np.uint8)
+        cols = [pa.array([x[at[i] : at[i + 1]].tobytes() if x is not high or x[at[i] : at[i + 1]].any() else b"" for i in some], pa.binary()) for x in (gap.astype(np.uint32), high, who)]
+        k = len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([round_] * k), *cols, pa.array([starts.tobytes()] * k, pa.binary())], ["at", "round", "gap", "high", "who", "extra"])
+        yield pa.RecordBatch.from_arrays([pa.array([parts + round_ % parts]), pa.array([round_]), *(pa.array([b""], pa.binary()) for _ in range(3)), pa.array([id_.tobytes()], pa.binary())], ["at", "round", "gap", "high", "who", "extra"])
 
     def run(batches):
+        texts, sets, held = [], [], 0
         for batch in batches:
             for b in pieces(batch, "text", 1 << 20):
-                v, at, _, _ = sets_of(b.column("text"))
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([v[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "shingles"])
+                v, at, t1, _ = sets_of(b.column("text"))
+                some = np.flatnonzero(np.diff(at))
+                for lo in range(0, len(some), 1 << 13):
+                    part = some[lo : lo + (1 << 13)]
+                    texts.append(t1[part])
+                    sets.append([v[at[i] : at[i + 1]] for i in part])
+                    held += sum(map(len, sets[-1]))
+                    if held > HELD or sum(map(len, texts)) > 3 << 13:
+                        yield from packed(texts, sets)
+                        texts, sets, held = [], [], 0
+        if texts:
+            yield from packed(texts, sets)
 
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    def shared(t: pa.Table) -> pa.Table:
+        rounds = t.column("round").to_pylist()
+        if t.column("at")[0].as_py() >= parts:  # the sets' ids
+            ids = [np.frombuffer(x, np.int64) for x in t.column("extra").to_pylist()]
+            ref = np.concatenate([(r << 15) + np.arange(len(x)) for r, x in zip(rounds, ids)])
+            none = np.zeros(len(ref), np.int64)
+            return _packed("key ref part more id", none, ref, np.full(len(ref), -1, np.int8), none.astype(np.int32), np.concatenate(ids))
+        keys, refs, sizes, asks = [], [], [], []
+        for r, gap, high, who, extra in zip(rounds, *(t.column(c).to_pylist() for c in ("gap", "high", "who", "extra"))):
+            g = np.frombuffer(gap, np.uint32).astype(np.int64)
+            g = g | np.frombuffer(high, np.uint8).astype(np.int64) << 32 if high else g
+            w = np.frombuffer(who, np.uint16)
+            keys.append(np.cumsum(g))
+            asks.append(w >> 15 > 0)
+            w = (w & 0x7FFF).astype(np.int64)
+            refs.append((r << 15) + w)
+            sizes.append(np.searchsorted(np.frombuffer(extra, np.uint16), w, "right").astype(np.int64) - 1)
+        key, ref, size, ask = (np.concatenate(x) for x in (keys, refs, sizes, asks))
+        order = np.argsort(key << 7 | size, kind="stable")
+        key, ref, size, ask = key[order], ref[order], size[order], ask[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(first, len(key)))
+        seg = np.repeat(np.arange(len(first)), count)
+        least = np.repeat(np.minimum.reduceat(np.where(ask, size, 127), first), count)
+        more = np.repeat(first + count, count) - np.searchsorted(seg << 7 | size, seg << 7 | np.minimum(size + far, 127))
+        out = [np.empty(0, np.int64)] * 2, [np.empty(0, np.int8)], [np.empty(0, np.int32)]
+        asker, held = np.flatnonzero(ask & (more > 0)), np.flatnonzero(size >= least + far)
+        whole = (key << 24) + t.column("at")[0].as_py()
+        use = np.concatenate([asker, held])
+        return _packed("key ref part more id", whole[use], ref[use], size[use].astype(np.int8), np.concatenate([more[asker], np.zeros(len(held), np.int64)]).astype(np.int32), np.zeros(len(use), np.int64))
 
+    picked = docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text"))
+    found = picked.mapInArrow(run, "at long, round long, gap binary, high binary, who binary, extra binary").groupBy("at").applyInArrow(shared, "key binary, ref binary, part binary, more binary, id binary")
+    return _unpacked(cut(found), "key long, ref long, part byte, more int, id long", np.int64, np.int64, np.int8, np.int32, np.int64)
 
-def common(pairs: DataFrame, sets: DataFrame, distance: int | None = None) -> DataFrame:
-    """``pairs (a, b)`` with the sizes of both sets and of what they share, where the smaller lies in the larger to T
-    and, if ``distance`` is given, is so many partitions below it at most."""
 
-    def run(batches):
+def far_pairs(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
+    """``(a, b)``: sets b and sets a, len(BANDING) partitions larger or more, that b's sample finds."""
+    listed = inverted(docs, total)
+    ids = listed.filter("part < 0").select("ref", "id").distinct()
+    rows = cut(listed.filter("part >= 0").drop("id").join(ids, "ref").groupBy("key", "id", "part", F.col("more") > 0).agg(F.max("more").alias("more")).select("key", "id", "part", "more"))
+    release(docs.sparkSession)
+    held = rows.filter("more = 0").select("key", F.col("id").alias("a"), F.col("part").alias("above"))
+    need = F.try_element_at(F.array(*map(F.lit, NEEDED)), F.least(F.col("n"), F.lit(len(NEEDED))))
+    asks = rows.filter("more > 0").join(reps.select("id", "n"), "id").withColumn("k", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("need", need).filter("k >= need")
+    asks = asks.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("more", "key"))).filter("rank <= k - need + 1")
+    found = asks.select("key", F.col("id").alias("b"), "part").join(held, "key").filter(F.col("above") >= F.col("part") + len(BANDING))
+    return found.select("a", "b").distinct()
+
+
+def set_table(s: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, shingles)`` of the sets of ``ids``, by id."""
+    return s.select("id", "shingles").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs (a, b)`` with the sizes of both sets and of what they share, where the smaller lies in the larger to T."""
 
+    def run(batches):
         for batch in batches:
             for p in range(0, batch.num_rows, 512):
                 b = batch.slice(p, 512)
                 na, nb, both = [], [], []
                 for xa, xb in zip(b.column("sa"), b.column("sb")):
                     x, y = np.frombuffer(xa.as_buffer(), np.uint32), np.frombuffer(xb.as_buffer(), np.uint32)
+                    na.append(len(x))
+                    nb.append(len(y))
                     if len(x) > len(y):
                         x, y = y, x
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
-                    na.append(len(xa.as_buffer()) // 4)
-                    nb.append(len(xb.as_buffer()) // 4)
-                    both.append(int((y[at] == x).sum()) if len(y) else 0)
+                    both.append(int((y[at] == x).sum()))
                 out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(c, pa.int32()) for c in (na, nb, both))], ["a", "b", "na", "nb", "both"])
-                yield out.filter(pa.array([m >= T * min(i, j) and m > 0 and (distance is None or abs(i.bit_length() - j.bit_length()) <= distance) for i, j, m in zip(na, nb, both)], pa.bool_()))
+                yield out.filter(pa.array([m >= T * min(i, j) - 1e-9 for i, j, m in zip(na, nb, both)], pa.bool_()))
 
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -213,78 +359,100 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _mutual(edges: DataFrame) -> DataFrame:
-    return edges.filter(F.col("both") >= F.lit(T) * F.greatest("na", "nb"))
+    return edges.filter(F.col("both") >= F.lit(T) * F.greatest("na", "nb") - 1e-9)
+
+
+def _merged(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components ``(id, comp)`` after the mutual ones of new edges."""
+    e = _mutual(edges).select("a", "b")
+    if comps is None:
+        return cut(components(e))
+    for c in ("a", "b"):
+        e = e.join(comps.select(F.col("id").alias(c), F.col("comp").alias("now")), c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+    up = components(e)
+    all_ = comps.union(up.select("id", F.col("id").alias("comp")).join(comps, "id", "left_anti"))
+    return cut(all_.join(up.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")))
 
 
 def _now(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """``rows`` under the components of now, of the buckets that still hold two or more."""
-    m = rows.join(comps.select(F.col("id").alias("comp"), F.col("comp").alias("now")), "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-    w = W.partitionBy("key")
-    return m.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo < hi").drop("lo", "hi")
+    """``rows (key, comp, x)`` under the components of now, of the buckets that still hold two or more."""
+    m = rows.join(comps.select(F.col("id").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("key", F.coalesce("now", "comp").alias("comp"), "x")
+    some = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return m.join(some, "key", "left_semi")
+
+
+def _may(key, above, below):
+    """Whether a bucket's banding is for a pair of partitions."""
+    return F.when(key.bitwiseAND(1) == 0, F.lit(True)).otherwise((above - below).between(1, len(BANDING)))
 
 
 def _hub(members: DataFrame, turn: int) -> DataFrame:
     """``(a, b)``, a above b: the top of some component of each bucket, that of the top member in turn 0, and of each other one."""
-    heads = members.groupBy("key", "comp").agg(F.max("x").alias("x"), F.max("asks").alias("asks"))
+    heads = members.groupBy("key", "comp").agg(F.max("x").alias("x"))
     first = F.col("x") if turn == 0 else F.struct(F.xxhash64("comp", F.lit(turn)), "comp")
-    hub = heads.withColumn("hub", F.max(F.struct(first.alias("by"), "x", "asks")).over(W.partitionBy("key"))).filter(F.col("hub.x") != F.col("x"))
-    pair = hub.filter(F.when(F.col("hub.x") > F.col("x"), F.col("asks")).otherwise(F.col("hub.asks")))
-    return pair.select((-F.greatest("x", "hub.x")["neg"]).alias("a"), (-F.least("x", "hub.x")["neg"]).alias("b")).distinct()
+    hub = heads.groupBy("key").agg(F.max_by("x", first).alias("hub"))
+    pair = heads.join(hub, "key").filter(F.col("hub") != F.col("x")).select("key", F.greatest("x", "hub").alias("x"), F.least("x", "hub").alias("y"))
+    return pair.filter(_may(F.col("key"), F.col("x.part"), F.col("y.part"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def _every(members: DataFrame) -> DataFrame:
-    """``(a, b)``, a above b: each member that asks in a bucket and each larger one there of another component."""
-    left, right = members.select("key", F.col("comp").alias("ca"), "x"), members.filter("asks").select("key", F.col("comp").alias("cb"), F.col("x").alias("y"))
-    pair = left.join(right, "key").filter("ca != cb").filter(F.col("x") > F.col("y"))
-    return pair.select((-F.col("x.neg")).alias("a"), (-F.col("y.neg")).alias("b")).distinct()
-
-
-def linked(docs: DataFrame, reps: DataFrame, distance: int | None = DISTANCE) -> DataFrame:
-    """Verified edges ``(a, b, na, nb, both)`` among ``reps (id, n, t1)``: all those between components of copies."""
-    buckets = cut(shared_buckets(docs, reps))
-    release(docs.sparkSession)
-    sets = cut(shingle_sets(docs, buckets.select("id").distinct()))
-    # the top that most of a document's buckets have
-    rank = F.struct("n", (-F.col("id")).alias("neg"))
-    seen = buckets.withColumn("top", F.max(rank).over(W.partitionBy("key"))).filter(F.col("asks") & (F.col("id") != -F.col("top.neg"))).groupBy("id", "top").agg(F.count(F.lit(1)).alias("c"))
-    best = seen.groupBy("id").agg(F.max(F.struct("c", "top"))["top"].alias("top"))
-    done = cut(best.select((-F.col("top.neg")).alias("a"), F.col("id").alias("b")))
-    edges = cut(common(done, sets, distance))
-    comps = components(_mutual(edges))
-    members = buckets.select("key", F.col("id").alias("comp"), rank.alias("x"), "asks")
+    """``(a, b)``, a above b: each member of a bucket and each larger one there of another component."""
+    left, right = members.select("key", F.col("comp").alias("ca"), "x"), members.select("key", F.col("comp").alias("cb"), F.col("x").alias("y"))
+    pair = left.join(right, "key").filter((F.col("x") > F.col("y")) & (F.col("ca") != F.col("cb")) & _may(F.col("key"), F.col("x.part"), F.col("y.part")))
+    return pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, s: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified edges ``(a, b, na, nb, both)`` among ``reps (id, n)``, all those between components of copies, and ``(id, comp)``."""
+    spark = docs.sparkSession
+    sizes = reps.agg(F.count(F.lit(1)), F.sum("n")).first()
+    far = cut(far_pairs(docs, reps, sizes[1] or 0))
+    release(spark)  # the packed shingles
+    buckets = cut(shared_buckets(s, sizes[0]))
+    release(spark)
+    ids = buckets.select("id").union(far.select(F.col("a").alias("id"))).union(far.select(F.col("b").alias("id")))
+    sets = cut(set_table(s, ids))
+    release(spark)
+    # the top that most of a set's buckets have
+    x = F.struct("part", "id")
+    top = buckets.groupBy("key").agg(F.max(x).alias("top"))
+    seen = buckets.join(top, "key").filter((F.col("id") != F.col("top.id")) & _may(F.col("key"), F.col("top.part"), F.col("part"))).groupBy("id", "top").agg(F.count(F.lit(1)).alias("c"))
+    done = cut(seen.groupBy("id").agg(F.max(F.struct("c", "top"))["top"].alias("top")).select(F.col("top.id").alias("a"), F.col("id").alias("b")))
+    edges = [cut(common(done, sets))]
+    comps = _merged(None, edges[0])
+    members = buckets.select("key", F.col("id").alias("comp"), x.alias("x"))
     for turn in range(HUBS):
         members = cut(_now(members, comps))
-        release(docs.sparkSession)
+        release(spark)
         todo = cut(_hub(members, turn).join(done, ["a", "b"], "left_anti"))
         if todo.isEmpty():
             continue
         done = done.union(todo)
-        new = cut(common(todo, sets, distance))
-        edges = edges.union(new)
-        comps = components(_mutual(edges))
-        if _mutual(new).count() < 0.1 * todo.count():
+        edges.append(cut(common(todo, sets)))
+        comps = _merged(comps, edges[-1])
+        if _mutual(edges[-1]).count() < 0.1 * todo.count():
             break
-    todo = cut(_every(_now(members, comps)).join(done, ["a", "b"], "left_anti"))
-    return edges.union(cut(common(todo, sets, distance)))
-
-
-def groups(docs: DataFrame, distance: int | None = DISTANCE) -> DataFrame:
-    """``(doc_id, group_id, kept)`` of every document that is in a group of two or more.
-
-    ``group_id`` is the id of the document to keep. Rows of one id are one document. Null ids, null
-    texts and texts without a word are in no group; an empty table gives no rows. A text that lies in
-    one more than ``distance`` size partitions above it is no copy of it; None sets no such bound.
-    """
+    todo = cut(_every(_now(members, comps)).union(far).distinct().join(done, ["a", "b"], "left_anti"))
+    members = buckets = None
+    release(spark)
+    edges.append(cut(common(todo, sets)))
+    comps = _merged(comps, edges[-1])
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.union(e)
+    return out, comps
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, id, group_id, kept)`` of every document that is in a group of two or more; ``id`` stands for its words."""
     s = cut(sketch(docs))
-    fold = W.partitionBy("t1", "t2")
-    exact = s.select("doc_id", "n", F.min("doc_id").over(fold).alias("id")).distinct()
-    reps = s.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
-    edges = linked(docs, reps, distance)
-    comp = components(_mutual(edges))
-    sized = edges.select(F.col("a").alias("id"), F.col("na").alias("n")).union(edges.select(F.col("b").alias("id"), F.col("nb").alias("n"))).distinct()
-    head = sized.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rank = F.struct("n", (-F.col("id")).alias("neg"))
-    head = cut(head.withColumn("top", F.max(rank).over(W.partitionBy("comp"))).select("id", F.col("top")))
+    exact = s.select("doc_id", "id").distinct()
+    reps = cut(s.groupBy("id", "t2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    edges, comp = linked(docs, s, reps)
+    s = None
+    rank = F.struct("n", (-F.col("least")).alias("neg"), "id")
+    head = reps.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("id", "comp", rank.alias("x"))
+    head = cut(head.withColumn("top", F.max("x").over(W.partitionBy("comp"))).select("id", "top"))
     # a group whose member lies in a larger group's member joins the group it lies in most
     up = edges.select(F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("small"), F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("large"), (F.col("both") / F.least("na", "nb")).alias("share"))
     up = up.join(head.select(F.col("id").alias("small"), F.col("top").alias("ts")), "small").join(head.select(F.col("id").alias("large"), F.col("top").alias("tl")), "large").filter("tl > ts")
@@ -295,12 +463,46 @@ def groups(docs: DataFrame, distance: int | None = DISTANCE) -> DataFrame:
         up = nxt
         if moved:
             break
-    root = head.join(up.withColumnRenamed("ts", "top"), "top", "left").select("id", (-F.coalesce("tl", "top")["neg"]).alias("group_id"))
-    every = exact.join(root, "id", "left").select("doc_id", F.coalesce("group_id", "id").alias("group_id")).distinct()
-    return every.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("group_id"))).filter("size > 1").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    root = head.join(up.withColumnRenamed("ts", "top"), "top", "left").select("id", F.coalesce("tl", "top").alias("root"))
+    every = exact.join(root, "id").select("doc_id", "id", (-F.col("root.neg")).alias("group_id"), F.col("root.id").alias("top"))
+    w = W.partitionBy("top")
+    return every.withColumn("size", F.count(F.lit(1)).over(w)).filter("size > 1").select("doc_id", "id", "group_id", ((F.col("doc_id") == F.col("group_id")) & (F.col("id") == F.col("top"))).alias("kept"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``(doc_id, group_id, kept)`` of every document that is in a group of two or more.
+
+    ``group_id`` is the id of the document to keep. Null ids, null texts and texts without a word are
+    in no group; an empty table gives no rows. Texts have no greatest length. Rows of one id and the
+    same words are one document; rows of one id and other words are documents of their own, so an id
+    may come twice. Of equal sizes, the least id is kept. Columns other than doc_id and text aren't read.
+    """
+    return placed(docs).select("doc_id", "group_id", "kept")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the documents that a group can spare."""
-    gone = groups(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` without the documents that a group can spare; its columns may have any names.
+
+    Where an id has several rows, those go whose own text is a copy, and of rows with the same words
+    one stays. Rows of null ids, null texts or texts without a word stay.
+    """
+    found = cut(placed(docs))
+    twice = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("doc_id")))
+    gone = found.filter("not kept").select("doc_id")
+    once = docs.join(gone.union(twice), "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return once
+    again = docs.join(twice, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def words_of(batches):
+        for batch in batches:
+            for b in pieces(batch, "text", 1 << 20):
+                v, at, t1, _ = sets_of(b.column("text"))
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(t1, mask=np.diff(at) == 0)], ["row", "doc_id", "id"])
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    known = again.mapInArrow(words_of, StructType([StructField("row", docs.schema), StructField("doc_id", LongType()), StructField("id", LongType())]))
+    known = known.join(found.filter("not kept").select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+    one = known.filter("id is not null").groupBy("doc_id", "id").agg(F.first("row").alias("row")).select("row")
+    return once.union(one.union(known.filter("id is null").select("row")).select("row.*"))

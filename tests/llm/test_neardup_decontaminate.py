@@ -36,7 +36,7 @@ def test_words_and_shingles_equal_plain():
 
 
 def near_pairs(texts):
-    """All pairs within two size partitions whose smaller shingle set lies in the larger to T, and which are mutual."""
+    """All pairs whose smaller shingle set lies in the larger to T, whatever their sizes, and which are mutual."""
     sets = {}
     for i, t in texts.items():
         w = plain_words(t)
@@ -51,8 +51,7 @@ def near_pairs(texts):
         for x in range(len(ids)):
             for y in range(x):
                 common[min(ids[x], ids[y]), max(ids[x], ids[y])] += 1
-    size = {i: np.frexp(float(len(s)))[1] for i, s in sets.items()}
-    near = {p for p, n in common.items() if n >= nd.T * min(len(sets[p[0]]), len(sets[p[1]])) and abs(size[p[0]] - size[p[1]]) <= 2}
+    near = {p for p, n in common.items() if n >= nd.T * min(len(sets[p[0]]), len(sets[p[1]]))}
     return near, {p for p in near if common[p] >= nd.T * max(len(sets[p[0]]), len(sets[p[1]]))}
 
 
@@ -120,7 +119,8 @@ def test_components_equal_union_find(spark):
 def test_neardup_odd_rows(spark, odd_docs, no_docs):
     assert {(r.doc_id, r.group_id, r.kept) for r in nd.groups(odd_docs).collect()} == {(4, 4, True), (5, 4, False)}
     assert nd.groups(no_docs).collect() == []
-    assert nd.stage(spark, odd_docs, None).count() == 9
+    # document 5 is a copy, and one of two equal rows of document 3 is enough
+    assert nd.stage(spark, odd_docs, None).count() == 8
 
 
 def plain_leaks(docs, items):
@@ -249,7 +249,7 @@ def test_texts_contained_in_far_larger_ones_are_found(spark, docs_of):
     vocab = [f"w{i}" for i in range(4000)]
     large = [[rng.choice(vocab) for _ in range(600)] for _ in range(20)]
     texts = [" ".join(w) for w in large] + [" ".join(w[100 : 100 + n]) for w, n in zip(large, range(8, 48, 2))]
-    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts), None).collect()}
+    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts)).collect()}
     assert g == {i: i % 20 for i in range(40)}
 
 
@@ -265,7 +265,7 @@ def test_recall_at_the_bound_of_each_distance(spark, docs_of):
     pairs = contained_pairs(dict(enumerate(texts)))
     by = Counter(int(np.frexp(float(n))[1] - np.frexp(float(m))[1]) for m, n, _ in pairs.values())
     assert by == {0: 40, 1: 40, 2: 40} or sum(by.values()) == 120
-    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts), None).collect()}
+    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts)).collect()}
     assert all(p[0] in g and g[p[0]] == g.get(p[1]) for p in pairs)
 
 
