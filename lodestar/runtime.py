@@ -41,6 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """cut() that keeps how ``df`` is partitioned and sorted, so that joins on these columns don't shuffle it again.
+
+    Plans that adapt at run time don't tell their partitioning, so this one doesn't adapt.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # the plan is made when it is first asked for, and must be made under this setting
+        return cut(df.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files and checkpoints that nothing refers to; else they stay until the driver collects its garbage."""
     gc.collect()
