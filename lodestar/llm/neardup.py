@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestar.llm.textutil import distinct, lower, mix64, pieces, shingles, text_bytes, words
-from lodestar.runtime import cut, release
+from lodestar.runtime import cut, cut_in_place, release
 
 K = 4
 T = 0.7
@@ -307,7 +307,7 @@ def far_pairs(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
 
 def set_table(s: DataFrame, ids: DataFrame) -> DataFrame:
     """``(id, shingles)`` of the sets of ``ids``, by id."""
-    return s.select("id", "shingles").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return cut_in_place(s.select("id", "shingles").dropDuplicates(["id"]).join(ids.distinct(), "id", "left_semi").sortWithinPartitions("id"))
 
 
 def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -402,17 +402,20 @@ def _every(members: DataFrame) -> DataFrame:
     return pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, s: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified edges ``(a, b, na, nb, both)`` among ``reps (id, n)``, all those between components of copies, and ``(id, comp)``."""
-    spark = docs.sparkSession
+def linked(docs: DataFrame, sketches: list[DataFrame], reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified edges ``(a, b, na, nb, both)`` among ``reps (id, n)``, all those between components of copies, and ``(id, comp)``.
+
+    Takes the one table out of ``sketches``, so that its files can go as soon as they are not needed.
+    """
+    spark, s = docs.sparkSession, sketches.pop()
     sizes = reps.agg(F.count(F.lit(1)), F.sum("n")).first()
     far = cut(far_pairs(docs, reps, sizes[1] or 0))
     release(spark)  # the packed shingles
     buckets = cut(shared_buckets(s, sizes[0]))
     release(spark)
     ids = buckets.select("id").union(far.select(F.col("a").alias("id"))).union(far.select(F.col("b").alias("id")))
-    sets = cut(set_table(s, ids))
-    release(spark)
+    sets, s = set_table(s, ids), None
+    release(spark)  # the sketches
     # the top that most of a set's buckets have
     x = F.struct("part", "id")
     top = buckets.groupBy("key").agg(F.max(x).alias("top"))
@@ -445,11 +448,10 @@ def linked(docs: DataFrame, s: DataFrame, reps: DataFrame) -> tuple[DataFrame, D
 
 def placed(docs: DataFrame) -> DataFrame:
     """``(doc_id, id, group_id, kept)`` of every document that is in a group of two or more; ``id`` stands for its words."""
-    s = cut(sketch(docs))
-    exact = s.select("doc_id", "id").distinct()
-    reps = cut(s.groupBy("id", "t2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-    edges, comp = linked(docs, s, reps)
-    s = None
+    sketches = [cut(sketch(docs))]
+    exact = cut(sketches[0].select("doc_id", "id").distinct())
+    reps = cut(sketches[0].groupBy("id", "t2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    edges, comp = linked(docs, sketches, reps)
     rank = F.struct("n", (-F.col("least")).alias("neg"), "id")
     head = reps.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("id", "comp", rank.alias("x"))
     head = cut(head.withColumn("top", F.max("x").over(W.partitionBy("comp"))).select("id", "top"))
