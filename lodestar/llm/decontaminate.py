@@ -1,21 +1,20 @@
-"""Benchmark decontamination by exact similarity over windows of the items' sizes.
+"""Benchmark decontamination by SimHash over windows of the items' own sizes, verified exactly.
 
 Texts are words in lower case without punctuation; features are pairs of neighbouring words, a
 pair's weight being its length in bytes. An item is in a document if some window of the item's size
-has LEAST of the item's weight. An inverted list of the items' pairs gives the weight of each item
-that a document has anywhere; items of which it has less than LEAST are in none of its windows. For
-the others, all windows are weighed at once: each pair of the item in the document counts for the
-windows that begin in a certain range, so running sums over the ends of these ranges are exact.
-No fingerprint decides; SimHash and its multi-index (``Index.classes``) are for lookups by
-fingerprint: four tables by 16-bit block hold each item under all blocks within SUB_RADIUS bits, so
-that any fingerprint within RADIUS bits is found. Near LEAST, similar windows differ in more bits
-than that (about 64 acos(s) / pi at similarity s), so they can't be searched that way.
+has LEAST of the item's weight. Windows whose pairs can't give that much weight to any item are left
+out first, which is exact. The others get a SimHash of 64 bits. At a similarity s, two fingerprints
+differ in about 64 acos(s) / pi bits; RADIUS is at least what FOUND of the windows at LEAST stay
+within. A multi-index finds all items within RADIUS: eight tables, by 8-bit block, hold each item
+under all blocks within SUB_RADIUS bits, and of RADIUS bits at most SUB_RADIUS fall on some block. An
+item with such a window is then weighed in every window of the document, by running sums over the
+ranges of windows that hold a pair, so the similarity given is exact and that of the best window.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
 from itertools import combinations
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +24,26 @@ from lodestar.llm.textutil import lower, mix64, pieces, text_bytes, words
 from lodestar.runtime import table
 
 LEAST = 0.7
-SUB_RADIUS = 2
-RADIUS = 4 * (SUB_RADIUS + 1) - 1
-#: Items that one pass over the documents looks for; a larger benchmark takes more passes.
-ITEMS_A_PASS = 20_000
+FOUND = 0.999
+
 
+def radius_for(similarity: float, found: float = FOUND) -> int:
+    """Bits, of 64, within which the fingerprints of ``found`` of the pairs of this similarity are."""
+    p, total, r = acos(similarity) / pi, 0.0, -1
+    while total < found:
+        r += 1
+        total += comb(64, r) * p**r * (1 - p) ** (64 - r)
+    return r
 
-def size_class(n: int) -> int:
-    """``n`` rounded down to a step of about an eighth."""
-    c = 2
-    while True:
-        up = max(c + 1, c * 9 // 8)
-        if up > n:
-            return c
-        c = up
+
+BLOCKS = 8
+SUB_RADIUS = radius_for(LEAST) // BLOCKS
+#: All that the tables are complete for.
+RADIUS = BLOCKS * (SUB_RADIUS + 1) - 1
+#: Windows that are fingerprinted at once.
+STEP = 4096
+#: Items that one pass over the documents looks for; a larger benchmark takes more passes.
+ITEMS_A_PASS = 20_000
 
 
 def pairs_of(h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,18 +51,29 @@ def pairs_of(h: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix64(h[:-1] * np.uint64(3) + h[1:] * np.uint64(5)), (length[:-1] + length[1:]).astype(np.int64)
 
 
-def fingerprints(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """SimHash of each row of pairs and their weights."""
-    bits = np.unpackbits(np.ascontiguousarray(pairs).view(np.uint8).reshape(*pairs.shape, 8), axis=-1, bitorder="little")
-    total = np.einsum("wl,wlb->wb", weights.astype(np.int32), bits.astype(np.int32) * 2 - 1)
-    return np.packbits(total > 0, axis=-1, bitorder="little").view(np.uint64).ravel()
+def fingerprints(pairs: np.ndarray, weights: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+    """SimHash of the windows of ``size`` pairs that begin at ``starts``, in order; the last ones may be cut off by the end."""
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), STEP):
+        part = starts[lo : lo + STEP]
+        while len(part):
+            near = part[: np.searchsorted(part, part[0] + STEP)]
+            a, b = int(near[0]), min(int(near[-1]) + size, len(pairs))
+            bits = np.unpackbits(np.ascontiguousarray(pairs[a:b]).view(np.uint8).reshape(-1, 8), axis=-1, bitorder="little")
+            sums = np.zeros((b - a + 1, 64), np.int64)
+            np.cumsum(np.where(bits > 0, weights[a:b, None], -weights[a:b, None]), axis=0, out=sums[1:])
+            total = sums[np.minimum(near + size, b) - a] - sums[near - a]
+            at = lo + int(np.searchsorted(starts[lo : lo + STEP], near[0]))
+            out[at : at + len(near)] = np.packbits(total > 0, axis=-1, bitorder="little").view(np.uint64).ravel()
+            part = part[len(near) :]
+    return out
 
 
-NEAR = np.array([sum(1 << i for i in c) for r in range(SUB_RADIUS + 1) for c in combinations(range(16), r)], np.uint16)
+NEAR = np.array([sum(1 << i for i in c) for r in range(SUB_RADIUS + 1) for c in combinations(range(8), r)], np.uint8)
 
 
 class Index:
-    """The items of a pass, and by word pair which items have it."""
+    """The items of a pass: by word pair which items have it, and by size their fingerprints' multi-index."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = []
@@ -70,8 +86,8 @@ class Index:
                 continue
             p, w = pairs_of(h[a:b], end[a:b] - start[a:b])
             u, first = np.unique(p, return_index=True)
-            size = size_class(int(b - a))
-            self.items.append({"item": item, "words": int(b - a), "size": size, "pairs": u, "weights": w[first], "total": int(w[first].sum()), "head": (p[: size - 1], w[: size - 1])})
+            print_ = fingerprints(p, w, len(p), np.zeros(1, np.int64))[0]
+            self.items.append({"item": item, "words": int(b - a), "pairs": u, "weights": w[first], "total": int(w[first].sum()), "print": print_})
         self.every = np.unique(np.concatenate([x["pairs"] for x in self.items])) if self.items else np.empty(0, np.uint64)
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.every >> np.uint64(42)).astype(np.int64)] = True
@@ -83,26 +99,31 @@ class Index:
         order = np.argsort(at, kind="stable")
         self.lists, self.who, self.weight = np.searchsorted(at[order], np.arange(len(self.every) + 1)), who[order], weight[order]
 
-    @cached_property
-    def classes(self) -> dict[int, dict]:
-        """By size class, multi-index tables of the items' fingerprints, which are set."""
-        for x in self.items:
-            x["print"] = fingerprints(x["head"][0][None], x["head"][1][None])[0]
-        out = {}
-        for size in {x["size"] for x in self.items}:
-            own = [i for i, x in enumerate(self.items) if x["size"] == size]
+        self.sizes: dict[int, dict] = {}
+        for i, x in enumerate(self.items):
+            self.sizes.setdefault(x["words"], []).append(i)
+        for size, own in self.sizes.items():
             prints = np.array([self.items[i]["print"] for i in own], np.uint64)
             tables = []
-            for block in range(4):
-                v = (prints >> np.uint64(16 * block)).astype(np.uint16)
-                near = (v[:, None] ^ NEAR[None]).ravel()
+            for block in range(BLOCKS):
+                near = ((prints >> np.uint64(8 * block)).astype(np.uint8)[:, None] ^ NEAR[None]).ravel()
                 who = np.repeat(np.array(own, np.int32), len(NEAR))
                 order = np.argsort(near, kind="stable")
-                tables.append((np.searchsorted(near[order], np.arange((1 << 16) + 1)), who[order]))
-            out[size] = {"tables": tables}
+                tables.append((np.searchsorted(near[order], np.arange(257)), who[order]))
+            self.sizes[size] = {"own": np.array(own), "tables": tables}
+
+    def within(self, size: int, prints: np.ndarray) -> set[int]:
+        """The items of a size that have one of these fingerprints within RADIUS."""
+        prints, out = np.unique(prints), set()
+        for block, (at, who) in enumerate(self.sizes[size]["tables"]):
+            values = (prints >> np.uint64(8 * block)).astype(np.uint8)
+            for value in np.unique(values):
+                todo = [i for i in who[at[value] : at[int(value) + 1]].tolist() if i not in out]
+                here = prints[values == value]
+                out.update(i for i in todo if np.bitwise_count(here ^ self.items[i]["print"]).min() <= RADIUS)
         return out
 
-    def find(self, pairs: np.ndarray) -> dict[int, tuple[float, int]]:
+    def find(self, pairs: np.ndarray, weights: np.ndarray) -> dict[int, tuple[float, int]]:
         """Items in a document's pairs: index of item -> best similarity and the word at which its first best window starts."""
         best: dict[int, tuple[float, int]] = {}
         place = np.flatnonzero(self.seen[(pairs >> np.uint64(42)).astype(np.int64)])
@@ -120,20 +141,32 @@ class Index:
         count = self.lists[u + 1] - self.lists[u]
         at = np.repeat(self.lists[u] - np.cumsum(count) + count, count) + np.arange(count.sum())
         have = np.bincount(self.who[at], self.weight[at], minlength=len(self.items))
-        for i in np.flatnonzero(have >= LEAST * self.totals - 1e-6):
-            x = self.items[i]
-            own = np.searchsorted(x["at"], k)
-            own[own == len(x["at"])] = 0
-            mine = x["at"][own] == k
-            p, w = place[mine], x["weights"][own[mine]]
-            # a pair counts once in a window: for those that begin after its last occurrence before
-            first = np.maximum(np.maximum(before[mine] + 1, p - x["words"] + 2), 0)
-            start, back = np.unique(np.concatenate([first, p + 1]), return_inverse=True)
-            sums = np.cumsum(np.bincount(back, np.concatenate([w, -w]).astype(np.float64)))
-            top = int(np.argmax(sums))
-            s = float(sums[top] / x["total"])
-            if s >= LEAST:
-                best[int(i)] = (s, int(start[top]))
+        may = np.flatnonzero(have >= LEAST * self.totals - 1e-6)  # the others have too little of their weight anywhere
+        own = {}
+        for i in may.tolist():
+            at = np.searchsorted(self.items[i]["at"], k)
+            at[at == len(self.items[i]["at"])] = 0
+            own[i] = at, self.items[i]["at"][at] == k
+        for size in {self.items[i]["words"] for i in own}:
+            some = [i for i in own if self.items[i]["words"] == size]
+            held = np.zeros(len(pairs) + 1, np.int64)
+            for i in some:
+                held[place[own[i][1]] + 1] = weights[place[own[i][1]]]
+            held = np.cumsum(held)
+            start = np.arange(max(1, len(pairs) - (size - 1) + 1))
+            start = start[held[np.minimum(start + size - 1, len(pairs))] - held[start] >= LEAST * self.totals[some].min() - 1e-6]
+            near = self.within(size, fingerprints(pairs, weights, size - 1, start)) if len(start) else set()
+            for i in near.intersection(some):
+                x, (at, mine) = self.items[i], own[i]
+                p, w = place[mine], x["weights"][at[mine]]
+                # a pair counts once in a window: for those that begin after its last occurrence before
+                first = np.maximum(np.maximum(before[mine] + 1, p - size + 2), 0)
+                begin, back = np.unique(np.concatenate([first, p + 1]), return_inverse=True)
+                sums = np.cumsum(np.bincount(back, np.concatenate([w, -w]).astype(np.float64)))
+                top = int(np.argmax(sums))
+                s = float(sums[top] / x["total"])
+                if s >= LEAST:
+                    best[i] = (s, int(begin[top]))
         return best
 
 
@@ -153,7 +186,7 @@ def found_in(col: pa.Array, index: Index) -> list[dict[int, tuple[float, int]]]:
     for i in np.flatnonzero(sums[upto] - sums[np.minimum(at[:-1], len(w))] >= index.need):
         a, b = at[i], at[i + 1]
         if b - a >= 2:
-            out[i] = index.find(p[a : b - 1])
+            out[i] = index.find(p[a : b - 1], w[a : b - 1])
     return out
 
 
@@ -169,8 +202,9 @@ def passes(benchmark: DataFrame, items_a_pass: int = ITEMS_A_PASS):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, similarity, word)``: the items that a document has, each at its best window.
 
-    Null texts, and items of fewer than two words, match nothing; a null doc_id stays null; rows
-    that repeat are each searched. Either table may be empty.
+    Null and empty texts, and items of fewer than two words, match nothing; a null doc_id stays null;
+    rows that repeat are each searched, and so are items. Texts are searched whole, whatever their
+    length. Of windows that tie, the first counts. Either table may be empty; other columns aren't read.
     """
     out = None
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -195,7 +229,11 @@ def _search(shared):
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` in which no item is found."""
+    """The rows of ``docs`` in which no item is found, with all their columns, whatever their names.
+
+    Rows of null or empty texts stay, rows that repeat stay or go together, and an empty benchmark
+    removes nothing.
+    """
     out = docs
     for items in passes(table(spark, sf_dir, "benchmark")):
         shared = spark.sparkContext.broadcast(items)
