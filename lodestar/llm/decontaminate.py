@@ -246,3 +246,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         out = out.mapInArrow(run, docs.schema)
     return out
+
+
+#: Every window weighed in SQL: a pair counts for the windows from ``f``, where it enters, to its own place ``p``.
+ORACLE = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') as w from documents where text is not null),
+b as (select row_number() over () as i, item_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') as w from benchmark where item_id is not null and text is not null),
+dp as (select r, doc_id, p, w[p + 1] || ' ' || w[p + 2] as pair from (select *, unnest(range(len(w) - 1)) as p from d)),
+ip as (select distinct i, item_id, len(w) as words, w[p + 1] || ' ' || w[p + 2] as pair, strlen(w[p + 1]) + strlen(w[p + 2]) as weight from (select *, unnest(range(len(w) - 1)) as p from b)),
+t as (select i, sum(weight) as total from ip group by i),
+h as (select r, doc_id, i, item_id, p, weight, greatest(coalesce(lag(p) over (partition by r, i, pair order by p), -1) + 1, p - words + 2, 0) as f, pair from dp join ip using (pair)),
+c as (select r, i from (select distinct r, i, pair, weight from h) join t using (i) group by r, i having sum(weight) >= {LEAST} * any_value(total)),
+k as (select h.*, total from h join c using (r, i) join t using (i)),
+s as (select e.r, e.i, any_value(k.doc_id) as doc_id, any_value(k.item_id) as item_id, e.f as word, sum(k.weight)::double / any_value(k.total) as similarity
+      from (select distinct r, i, f from k) e join k on k.r = e.r and k.i = e.i and k.f <= e.f and e.f <= k.p group by e.r, e.i, e.f)
+select doc_id, item_id, similarity, word::bigint as word
+from (select *, row_number() over (partition by r, i order by similarity desc, word) as n from s) where n = 1 and similarity >= {LEAST}
+"""

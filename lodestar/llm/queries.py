@@ -22,4 +22,5 @@ ORACLES = {
     "op3_license_scan": licenses.oracle(),
     "op5_chat_format": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op10_decontamination": decontaminate.ORACLE,
 }
