@@ -3,11 +3,12 @@
 Protected entities are e-mail addresses, telephone numbers, network addresses, account and identity
 numbers and secrets, found by pattern. An entity e reveals itself wholly, so each occurrence is
 generalised to its kind. A term t near it may reveal it too: of the entity's information
-IC(e) = log2(N / n(e)), the term gives away PMI(t, e) = log2(N n(t, e) / (n(t) n(e))), where n counts
-documents of the whole corpus, and n(t, e) those where t stands within REACH words of e. Where the
-share PMI / IC is at least GENERALISE, the term is put in more general words near that entity, and
-where it is at least REMOVE, it is taken out; either only if n(t, e) is SUPPORT or more, since
-fewer joint occurrences are no evidence.
+IC(e) = log2(1 / p(e)), p(e) = n(e) / N, the term gives away PMI(t, e) = log2(p(e | t) / p(e)), where n
+counts documents of the whole corpus, n(t, e) those where t stands within REACH words of e, and
+p(e | t) = (n(t, e) + PRIOR p(e)) / (n(t) + PRIOR): few joint occurrences of a term are little evidence,
+and draw the estimate to that of no relation. Where the share PMI / IC is at least GENERALISE, the term
+is put in more general words near that entity, and where it is at least REMOVE, it is taken out. So a
+rare word beside an address that one document has is treated, and a common one is left.
 
 Terms are counted in all documents. Texts are never shuffled but for those that hold an entity.
 """
@@ -26,7 +27,8 @@ from lodestar.runtime import cut
 REACH = 10
 GENERALISE = 0.6
 REMOVE = 0.9
-SUPPORT = 3
+#: Documents without a relation that each term is taken to be in besides its own.
+PRIOR = 1.0
 
 KINDS = {
     "SECRET": rb"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b\W{0,6}[=:]\W{0,6}[A-Za-z0-9_/+.-]{8,})|\bAKIA[0-9A-Z]{16}\b|\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b|\b(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{32,}\b",
@@ -138,11 +140,12 @@ def revealing(docs: DataFrame) -> DataFrame:
     c = cut(contexts(docs))
     joint = c.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nte"))
     of = joint.filter("term = 0").select("entity", F.col("nte").alias("ne"))
-    wanted = joint.filter(F.col("term") != 0).filter(F.col("nte") >= SUPPORT)
+    wanted = joint.filter(F.col("term") != 0)
     counted = cut(term_counts(docs).join(wanted.select("term").distinct().union(docs.sparkSession.range(1).select(F.col("id").alias("term"))), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("nt")))
     total = counted.filter("term = 0").select(F.col("nt").alias("N"))
     x = wanted.join(of, "entity").join(counted, "term").crossJoin(F.broadcast(total))  # one row
-    share = F.log2(F.col("N") * F.col("nte") / (F.col("nt") * F.col("ne"))) / F.log2(F.col("N") / F.col("ne"))
+    p = F.col("ne") / F.col("N")
+    share = F.log2((F.col("nte") + PRIOR * p) / ((F.col("nt") + PRIOR) * p)) / F.log2(1 / p)
     return x.filter("N > ne").withColumn("share", share).filter(F.col("share") >= GENERALISE).select("entity", "term", "share")
 
 
@@ -180,8 +183,10 @@ def clean(data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, shares
 def sanitise(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, n_entities, n_terms)`` of every row, its text without what it must not disclose.
 
-    A text without an entity is returned as it is, null texts among them. Null ids stay; rows that
-    repeat each count in the statistics and are each returned. Other columns are not read.
+    A text without an entity is returned as it is, null and empty texts among them. Null ids stay; rows
+    that repeat each count in the statistics and are each returned. Texts are searched whole, whatever
+    their length; of two entities' shares for one word the larger counts. An empty table gives no rows.
+    Other columns, whatever their names, are not read.
     """
     pairs = revealing(docs)
     has = F.col("text").rlike(MAYBE)
