@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from lodestar.llm.textutil import unused
 from lodestar.runtime import cut
 
 SEED = 17
@@ -62,7 +63,11 @@ def quotas(blocks: DataFrame, weights: DataFrame | None = None, *, seed: int = S
     """``(shard, source, block)`` of the blocks that are chosen. Equal quotients go to the lesser source name."""
     have = blocks.groupBy("shard", "source").agg(F.ceil(F.sum("n_tokens") / F.lit(block_tokens)).cast("bigint").alias("blocks"))
     have = have.withColumn("blocks", F.greatest(F.col("blocks"), F.lit(1)))
-    have = have.join(weights if weights is not None else weights_of(blocks), "source")
+    if weights is None:
+        weights = weights_of(blocks)
+    else:
+        weights = weights.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.max(F.col("weight").cast("double")).alias("weight")).filter("weight > 0 and not isnan(weight)")
+    have = have.join(weights, "source")
     each = have.select("shard", "source", "weight", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     each = each.withColumn("quotient", F.col("weight") / (2 * F.col("block") + 1)).withColumn(
         "h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("shard").cast("string"), F.col("source"), F.col("block").cast("string")))
@@ -77,16 +82,22 @@ def quotas(blocks: DataFrame, weights: DataFrame | None = None, *, seed: int = S
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, keep_fraction: float = KEEP_FRACTION) -> DataFrame:
     """``(doc_id, source, n_tokens, shard, block)`` of the chosen rows; nulls and ties as in assign_blocks.
 
-    ``weights``, if given, holds ``(source, weight double)``; a source without a weight isn't chosen.
+    ``weights``, if given, holds ``(source, weight double)``; a source without a weight above 0 isn't
+    chosen, and of several weights of a source the greatest counts. Texts have no greatest length;
+    an empty table gives no rows; columns besides doc_id, source and text aren't read.
     """
     blocks = assign_blocks(docs, seed=seed, block_tokens=block_tokens, shard_tokens=shard_tokens)
     return blocks.join(quotas(blocks, weights, seed=seed, block_tokens=block_tokens, keep_fraction=keep_fraction), ["shard", "source", "block"], "left_semi").select("doc_id", "source", "n_tokens", "shard", "block")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the mix keeps, with all their columns."""
-    ids = mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce(F.col("source"), F.lit("")) == F.col("_source"))
+    """The rows of ``docs`` that the mix keeps, with all their columns, whatever their names.
+
+    Rows of one id and source stay or go together.
+    """
+    id_, source = unused(docs.columns, "mixed_id"), unused(docs.columns, "mixed_source")
+    ids = mix(docs).select(F.col("doc_id").alias(id_), F.col("source").alias(source)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.coalesce(F.col("source"), F.lit("")) == F.col(source))
     return docs.join(ids, same, "left_semi")
 
 

@@ -12,6 +12,7 @@ moved between files once a round. A task that runs again replaces its file with
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from lodestar.llm.store_fs import commit_json, names, open_fs, read_json
+from lodestar.llm.textutil import unused
 from lodestar.runtime import scratch
 
 TARGET_BYTES = 128 << 20
@@ -79,12 +81,24 @@ class ShardStore:
         return base + 1
 
     def append(self, rows: DataFrame) -> int:
-        """Write an arrival's partitions as shards of their own and commit them."""
-        base = self.version()
-        sub = f"data/arrival-{base + 1:010d}-{uuid.uuid4().hex[:8]}"
+        """Write an arrival's partitions as shards of their own and commit them, on whatever version is the latest by then."""
+        sub = f"data/arrival-{self.version() + 1:010d}-{uuid.uuid4().hex[:8]}"
         rows.write.option("compression", "zstd").parquet(f"{self.folder}/{sub}")
-        new = [{"file": f"{sub}/{n}", "bytes": size, "version": base + 1} for n, size in names(f"{self.folder}/{sub}") if n.endswith(".parquet")]
-        return self._commit(base, self.files(base) + new)
+        new = [(f"{sub}/{n}", size) for n, size in names(f"{self.folder}/{sub}") if n.endswith(".parquet")]
+        return self._replace(set(), new)
+
+    def _replace(self, gone: set[str], new: list[tuple[str, int]]) -> int:
+        """Commit ``new`` in place of ``gone``; where another writer was faster, again on its version."""
+        while True:
+            base = self.version()
+            files = self.files(base)
+            if not gone <= {f["file"] for f in files}:
+                raise RuntimeError("another writer has merged the same shards")
+            try:
+                return self._commit(base, [f for f in files if f["file"] not in gone] + [{"file": n, "bytes": size, "version": base + 1} for n, size in new])
+            except Exception:
+                if self.version() <= base:
+                    raise
 
     def compact_once(self) -> bool:
         """Run the merges that are due, as one job, and commit; False if none is."""
@@ -112,9 +126,8 @@ class ShardStore:
                     yield pa.RecordBatch.from_arrays([pa.array([f"{sub}/{name}"]), pa.array([system.get_file_info(f"{root}/{sub}/{name}").size], pa.int64())], ["file", "bytes"])
 
         todo = self.spark.createDataFrame([(f"run-{k:06d}.parquet", g) for k, g in enumerate(groups)], "name string, members array<string>").repartition(len(groups), "name")
-        new = [{"file": r["file"], "bytes": r["bytes"], "version": base + 1} for r in todo.mapInArrow(merge, "file string, bytes long").collect()]  # a row a file
-        gone = {m for g in groups for m in g}
-        self._commit(base, [f for f in files if f["file"] not in gone] + new)
+        new = [(r["file"], r["bytes"]) for r in todo.mapInArrow(merge, "file string, bytes long").collect()]  # a row a file
+        self._replace({m for g in groups for m in g}, new)
         return True
 
     def compact(self) -> int:
@@ -122,42 +135,47 @@ class ShardStore:
             pass
         return self.version()
 
-    def vacuum(self) -> int:
-        """Delete shards that the latest manifest doesn't name; older versions can't be read after it."""
-        live = {f["file"] for f in self.files()}
+    def vacuum(self, older_than: float = 7 * 86400, versions: int = 1) -> int:
+        """Delete shards that none of the latest ``versions`` manifests names and that are ``older_than`` seconds old.
+
+        Older versions can't be read after it. The age spares what others have written and not committed yet.
+        """
+        latest, before = self.version(), time.time() - older_than
+        live = {f["file"] for v in range(max(1, latest - versions + 1), latest + 1) for f in self.files(v)}
         system, root = open_fs(self.folder)
         from pyarrow.fs import FileSelector
 
-        gone = [i.path for i in system.get_file_info(FileSelector(f"{root}/data", recursive=True, allow_not_found=True)) if i.is_file and i.path.endswith(".parquet") and i.path[len(root) + 1 :] not in live]
+        gone = [i.path for i in system.get_file_info(FileSelector(f"{root}/data", recursive=True, allow_not_found=True)) if i.is_file and i.path.endswith(".parquet") and i.mtime.timestamp() <= before and i.path[len(root) + 1 :] not in live]
         for p in gone:
             system.delete_file(p)
         return len(gone)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version, with the shard of each in ``_shard``; None if it has no files."""
+    def read(self, version: int | None = None, shard: str = "_shard") -> DataFrame | None:
+        """The rows of a version, with the shard of each in the column ``shard``, which takes more
+        underscores if there is such a column; None if it has no files."""
         files = self.files(version)
         if not files:
             return None
         df = self.spark.read.parquet(*(f"{self.folder}/{f['file']}" for f in files))
-        return df.withColumn("_shard", F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -2, 2)))
+        return df.withColumn(unused(df.columns, shard), F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -2, 2)))
 
 
 def shard(docs: DataFrame, *, target: int = TARGET_BYTES, fanout: int = FANOUT, floor: int = FLOOR_BYTES) -> DataFrame:
     """Append ``docs`` as arrivals, compact, commit; ``(doc_id, source, n_chars, shard, version)`` of every row.
 
     Each partition of ``docs`` arrives as one small shard. All columns are stored, whatever their
-    names, nulls and repeated rows included; an empty table gives no rows. Empty partitions leave
-    no shard behind.
+    names, nulls, repeated rows and texts of any length included; an empty table gives no rows. Empty
+    partitions leave no shard behind. Shards of one size are merged in the order of their age and names.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, scratch(spark, "shards"), target=target, fanout=fanout, floor=floor)
     store.append(docs)
     version = store.compact()
-    store.vacuum()
-    live = store.read()
+    store.vacuum(0)  # no one else writes here
+    live, at = store.read(), unused(docs.columns, "_shard")
     if live is None:
-        live = docs.limit(0).withColumn("_shard", F.lit(""))
-    return live.select("doc_id", "source", "n_chars", F.col("_shard").alias("shard"), F.lit(version).cast("int").alias("version"))
+        live = docs.limit(0).withColumn(at, F.lit(""))
+    return live.select("doc_id", "source", "n_chars", F.col(at).alias("shard"), F.lit(version).cast("int").alias("version"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,3 +141,11 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def unused(columns, name: str) -> str:
+    """``name``, with as many underscores before it as no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
