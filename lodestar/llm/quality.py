@@ -27,6 +27,8 @@ from lodestar.runtime import table
 
 BITS = 18
 SAMPLE = 6000
+#: Bytes of text that the sample has at most; rows beyond it, in the order of the hash, aren't trained on.
+SAMPLE_BYTES = 128 << 20
 KEEP_QUALITY = 0.5
 REJECT_TOXIC = 0.5
 #: Penalties; the second is on weights of slots scaled to their usual value, the first on plain ones.
@@ -97,7 +99,7 @@ def margins(col: pa.Array, weights: np.ndarray) -> np.ndarray:
 class Rows:
     """The features of the labelled rows as a sparse matrix, in blocks of 200 rows, 8 bytes an entry.
 
-    A block holds slots, rows, families and counts (65,535 at most), and each row's totals by family.
+    A block holds slots, rows, families and counts (in 4 bytes where 2 are too few), and each row's totals by family.
     """
 
     def __init__(self, texts: list[str]):
@@ -110,7 +112,7 @@ class Rows:
                 n = np.diff(at)
                 key = np.repeat(np.arange(len(part), dtype=np.int64), n) << BITS | s
                 u, c = np.unique(key, return_counts=True)
-                found.append(((u & ((1 << BITS) - 1)).astype(np.int32), (u >> BITS).astype(np.uint8), np.full(len(u), family, np.uint8), np.minimum(c, 65535).astype(np.uint16)))
+                found.append(((u & ((1 << BITS) - 1)).astype(np.int32), (u >> BITS).astype(np.uint8), np.full(len(u), family, np.uint8), c.astype(np.uint16 if not len(c) or c.max() < 1 << 16 else np.uint32)))
                 totals.append(np.maximum(n, 1).astype(np.float32))
             block = [np.concatenate(x) for x in zip(*found)]
             self.df += np.bincount(block[0], minlength=1 << BITS).astype(np.int32)
@@ -256,11 +258,16 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[t
     return [(r[1], int(r[2] > 0), int(r[3] > 0)) for r in labelled_rows(docs, labels, sample).collect()]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """train() on the labelled sample, as one task; the driver gets the weights alone."""
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> dict:
+    """train() on the labelled sample, of ``most`` bytes at most, as one task; the driver gets the weights alone."""
 
     def run(batches):
-        rows = [(t, int(q > 0), int(x > 0)) for b in batches for t, q, x in zip(*(b.column(c).to_pylist() for c in ("text", "_q", "_x")))]
+        rows, held = [], 0
+        for b in batches:
+            for t, q, x in zip(*(b.column(c) for c in ("text", "_q", "_x"))):
+                held += len(t.as_buffer()) if t.is_valid else 0
+                if held <= most:
+                    rows.append((t.as_py(), int(q.as_py() > 0), int(x.as_py() > 0)))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows))], pa.binary())], ["model"])
 
     out = labelled_rows(docs, labels, sample).coalesce(1).mapInArrow(run, "model binary").collect()
@@ -292,9 +299,21 @@ def kept(scored: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
-    model = fitted(docs, table(spark, sf_dir, "labels"))
-    return kept(score(docs, model)).select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    A null or empty text, or one without a word, is not kept; rows that repeat stay or go together. Texts
+    are scored whole. Without labels every text has an even chance in both heads, and none is kept.
+    """
+    shared = spark.sparkContext.broadcast(fitted(docs, table(spark, sf_dir, "labels")))
+
+    def run(batches):
+        for batch in batches:
+            for b in pieces(batch, "text", 1 << 20):
+                p = probabilities(b.column("text"), shared.value)
+                blank = np.diff(words(*text_bytes(b.column("text")))[3]) == 0
+                yield b.filter(pa.array((p[:, 0] >= KEEP_QUALITY) & (p[:, 1] < REJECT_TOXIC) & ~blank))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

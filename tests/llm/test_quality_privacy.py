@@ -64,6 +64,8 @@ def test_quality_odd_rows(spark, odd_docs, no_docs, labelled):
     rows = quality.score(odd_docs, model).collect()
     assert len(rows) == 10 and [r._p_quality for r in rows if r.doc_id in (1, 2, 6)] == [0, 0, 0]
     assert quality.kept(quality.score(no_docs, model)).collect() == []
+    clash = odd_docs.withColumn("_p_quality", F.lit(7)).withColumn("_q", F.lit(7))
+    assert quality.stage(spark, clash, "/root/testdata/sf0.001").columns == clash.columns
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 1), (4, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.labelled(odd_docs, labels) == [("same words here as there", 1, 0)] * 2
 
