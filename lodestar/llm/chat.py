@@ -2,7 +2,9 @@
 
 A record's nested field paths, without types and places in arrays, are hashed into a fingerprint.
 A registry of declarative mappings says, for each layout's fingerprint, where turns, roles and texts
-stand. Paths that no mapping mentions don't enter the fingerprint, so extra fields change nothing.
+stand. Paths that no mapping mentions don't enter the fingerprint, so extra fields change nothing; where
+a record also has fields of other mappings, its fingerprint is that of the mapping that it holds whole
+and that has the most paths, of equals the first.
 Records are read into Spark's variant type, which is also what their paths come from; only the
 text of a record's schema, a short string that few records do not share, goes through Python.
 """
@@ -79,9 +81,20 @@ def schema_paths(schema: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+@functools.lru_cache(1 << 16)
+def schema_fingerprint(schema: str) -> str:
+    """The fingerprint of a schema's own paths or, if no mapping has it, of the largest mapping that lies in them."""
+    paths = set(schema_paths(schema))
+    own = hash_paths(paths)
+    if own in FINGERPRINTS:
+        return own
+    whole = [m for m in map(paths_of, MAPPINGS.values()) if paths.issuperset(m)]
+    return hash_paths(max(whole, key=len)) if whole else own
+
+
 def _fingerprint(schema):
     def each(schemas: pd.Series) -> pd.Series:
-        return schemas.map(lambda s: hash_paths(schema_paths(s)) if s is not None else None)
+        return schemas.map(lambda s: schema_fingerprint(s) if s is not None else None)
 
     return F.pandas_udf(each, "string")(schema)
 
@@ -90,6 +103,13 @@ def _text(v, path: str):
     return F.try_variant_get(v, "$." + path, "string")
 
 
+def _content(v, path: str):
+    """A turn's text; of a list of parts, the texts of those that have one, a line each."""
+    part = lambda p: F.when(F.schema_of_variant(p).startswith("OBJECT"), _text(p, "text")).otherwise(F.try_variant_get(p, "$", "string"))
+    parts = F.try_variant_get(v, "$." + path, "array<variant>")
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "\n")).otherwise(_text(v, path))
+
+
 def _role(c):
     known = F.create_map(*[x for k, v in ROLES.items() for x in (F.lit(k), F.lit(v))])
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(c))), F.lower(F.trim(c)))
@@ -99,7 +119,7 @@ def _turns(v, mapping):
     """The canonical turns of a record, as an array of (role, text), for one mapping."""
     if isinstance(mapping, tuple):
         items = F.try_variant_get(v, "$." + mapping[0], "array<variant>")
-        return F.transform(items, lambda x: F.struct(_role(_text(x, mapping[1])).alias("role"), _text(x, mapping[2]).alias("text")))
+        return F.transform(items, lambda x: F.struct(_role(_text(x, mapping[1])).alias("role"), _content(x, mapping[2]).alias("text")))
     turns = []
     for role, text in mapping:
         parts = [_text(v, p) for p in text.split("+")]
@@ -113,9 +133,10 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", record: str = "rec
     """``(<key>, layout, turn, role, text)``: the turns of every JSON record, numbered from 0.
 
     A record that is null, no JSON, or of a layout without a mapping gives one row with layout
-    ``unknown`` and nulls. Turns whose text is null stay, with a null text; a record of a known
-    layout with no turns gives one row with a null turn. Roles are those of ROLES, others in lower
-    case. Fields of other names, also ones that clash with columns here, are not read.
+    ``unknown`` and nulls; so does one whose list of turns is empty, since such a list has no fields.
+    Turns whose text is null stay, with a null text. Roles are those of ROLES, others in lower case.
+    Records that repeat are each read, texts of any length whole; an empty table gives no rows. Fields
+    and columns of other names, also ones that clash with columns here, are not read.
     """
     v = F.try_parse_json(F.col(record))
     t = records.select(F.col(key), v.alias("_v"))

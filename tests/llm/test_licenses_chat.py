@@ -101,6 +101,18 @@ def test_records_that_are_odd(spark):
     assert chat.canonical_turns(spark.createDataFrame([], "conv_id long, record string")).collect() == []
 
 
+def test_records_of_several_layouts_and_parts(spark):
+    turns = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    rows = [
+        {"prompt": "p", "messages": turns}, {"system": "s", "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "one"}, {"type": "image", "url": "u"}, {"type": "text", "text": "two"}]}, {"role": "assistant", "content": "a" * 300_000}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), 1, "x") for i, r in enumerate(rows)], "conv_id long, record string, turn int, layout string")
+    got = {(r.conv_id, r.turn): (r.layout, r.role, r.text) for r in chat.canonical_turns(df).collect()}
+    assert got[0, 0] == ("messages", "user", "q") and got[1, 1] == ("conversations", "assistant", "a")
+    assert got[2, 0] == ("messages", "user", "one\ntwo") and len(got[2, 1][2]) == 300_000 and len(got) == 6
+
+
 def test_fingerprints_differ():
     assert len(chat.FINGERPRINTS) == len(chat.MAPPINGS)
     assert chat.schema_paths("OBJECT<a: ARRAY<OBJECT<b: STRING, c: OBJECT<d: BIGINT>>>, e: DECIMAL(3,1)>") == ("a", "a[]", "a[].b", "a[].c", "a[].c.d", "e")
