@@ -109,13 +109,17 @@ def scan(spark, folder: str, *, separator: int = SEPARATOR, block_bytes: int = B
                 found = np.flatnonzero(ids == separator) + base
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([base + len(ids)], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["file", "block", "upto", "found"])
 
-    each = blocks.mapInArrow(search, "file string, block long, upto long, found array<long>")
+    # separators take 8 bytes a document; only a block's number of them and the last one go through the scan
+    each = cut(blocks.mapInArrow(search, "file string, block long, upto long, found array<long>"))
+    own_last = F.element_at(F.when(F.size("found") > 0, F.col("found")), -1)
+    brief = each.select("file", "block", "upto", F.size("found").alias("n"), own_last.alias("own"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    each = each.withColumn("ordinal", F.coalesce(F.sum(F.size("found")).over(before), F.lit(0))).withColumn("last", F.coalesce(F.max(F.element_at(F.when(F.size("found") > 0, F.col("found")), -1)).over(before), F.lit(-1).cast("bigint")))
+    brief = brief.withColumn("ordinal", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("last", F.coalesce(F.max("own").over(before), F.lit(-1).cast("bigint")))
     # the end of a file closes a document that no separator does
     end = F.col("block") == F.max("block").over(W.partitionBy("file"))
-    open_tail = end & (F.coalesce(F.element_at(F.when(F.size("found") > 0, F.col("found")), -1), F.col("last")) < F.col("upto") - 1)
-    each = each.withColumn("found", F.when(open_tail, F.concat("found", F.array("upto"))).otherwise(F.col("found")))
+    brief = brief.withColumn("open", end & (F.coalesce("own", "last") < F.col("upto") - 1)).select("file", "block", "ordinal", "last", "open")
+    each = each.join(brief.hint("merge"), ["file", "block"])
+    each = each.withColumn("found", F.when(F.col("open"), F.concat("found", F.array("upto"))).otherwise(F.col("found")))
     places = each.select("file", "ordinal", "last", F.col("found"), F.posexplode("found").alias("i", "at"))
     previous = F.when(F.col("i") == 0, F.col("last")).otherwise(F.element_at("found", F.greatest(F.col("i"), F.lit(1))))
     return places.select("file", (F.col("ordinal") + F.col("i")).cast("bigint").alias("ordinal"), (F.col("at") - previous - 1).cast("bigint").alias("n_tokens"))
@@ -124,7 +128,9 @@ def scan(spark, folder: str, *, separator: int = SEPARATOR, block_bytes: int = B
 def token_counts(docs: DataFrame, *, tokenizer: str = TOKENIZER, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, file, ordinal, n_tokens)`` of every row of ``docs``, by writing token files and scanning them.
 
-    Nulls: a null text is an empty document, a null id stays null. Rows that repeat each count.
+    Nulls: a null text is an empty document, as an empty one is; a null id stays null. Rows that repeat
+    each count. Texts have no greatest length. An empty table gives no rows. Columns besides doc_id and
+    text, whatever their names, aren't read.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
