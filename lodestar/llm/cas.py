@@ -2,7 +2,7 @@
 
 A rolling hash over the last ``WINDOW`` ids decides where an id stream is cut, so equal passages
 are cut alike wherever they stand. A chunk is stored once under the hash of its bytes; a document
-is a recipe, the hashes of its chunks in order, and a Merkle root over them. Chunks
+is a recipe, the hashes of its chunks in order, and a Merkle root over them. Chunks, and recipes,
 of one two-byte prefix have a Merkle root too, and the store's manifest holds those and their root.
 """
 
@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.sources.files import commit_json, open_fs, read_json
 from lodestar.llm.tokens import TOKENIZER, encode, encoder
 from lodestar.runtime import scratch
 
@@ -104,11 +105,11 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> Non
     """Write ``folder/recipes`` and ``folder/chunks``; texts are tokenised once.
 
     Recipes and chunks go through one shuffle: a chunk to the partition of its hash, where it is
-    kept once; a recipe to that of its root.
+    kept once; a recipe to that of its root and id, so that equal documents are spread.
     """
-    key = F.coalesce("digest", "root")
+    key = F.coalesce("digest", F.md5(F.concat_ws(":", F.hex("root"), "doc_id")).cast("binary"))
     both = chunks_of(docs, tokenizer).withColumn("kind", F.when(F.col("digest").isNull(), F.lit("recipes")).otherwise(F.lit("chunks")))
-    placed = both.repartition(key).sortWithinPartitions("kind", key)
+    placed = both.repartition(key).sortWithinPartitions("kind", "digest")
 
     def once(batches):
         last = pa.scalar(None, pa.binary())
@@ -139,44 +140,89 @@ def _digests(ids):
 
 
 def manifest(spark, folder: str) -> DataFrame:
-    """``(part, n_chunks, root)``: a Merkle root over the hashes, in order, of each two-byte prefix of chunks."""
+    """``(part, n, root)``: a Merkle root over the leaves, in order, of each two-byte prefix.
+
+    Parts ``c....`` are of chunks, whose leaves are their hashes; parts ``r....`` of recipes, whose leaves
+    are hashes of id, length and root, and which come by the prefix of the root.
+    """
+
+    def leaves(batches):
+        for b in batches:
+            ids, sizes, roots = (b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root"))
+            out = [digest(repr((i, n)).encode() + r) for i, n, r in zip(ids, sizes, roots)]
+            yield pa.RecordBatch.from_arrays([pa.array(["r" + r[:2].hex() for r in roots], pa.string()), pa.array(out, pa.binary())], ["part", "leaf"])
 
     def roots(batches):
-        part, leaves = None, []
+        part, held = None, []
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([part.hex()]), pa.array([len(leaves)], pa.int64()), pa.array([merkle(leaves)])], ["part", "n_chunks", "root"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(held)], pa.int64()), pa.array([merkle(held)])], ["part", "n", "root"])
 
         for b in batches:
-            for d in b.column("digest").to_pylist():
-                if d[:2] != part:
-                    if leaves:
+            for p, d in zip(b.column("part").to_pylist(), b.column("leaf").to_pylist()):
+                if p != part:
+                    if held:
                         yield row()
-                    part, leaves = d[:2], []
-                leaves.append(d)
-        if leaves:
+                    part, held = p, []
+                held.append(d)
+        if held:
             yield row()
 
-    placed = chunks(spark, folder).select("digest").repartition(F.substring("digest", 1, 2)).sortWithinPartitions("digest")
-    return placed.mapInArrow(roots, "part string, n_chunks long, root binary")
+    own = recipes(spark, folder).select("doc_id", "n_tokens", "root").mapInArrow(leaves, "part string, leaf binary")
+    of = chunks(spark, folder).select(F.concat(F.lit("c"), F.lower(F.hex(F.substring("digest", 1, 2)))).alias("part"), F.col("digest").alias("leaf"))
+    placed = own.union(of).repartition("part").sortWithinPartitions("part", "leaf")
+    return placed.mapInArrow(roots, "part string, n long, root binary")
+
+
+def parts_of(spark, folder: str) -> list[list]:
+    """manifest() as ``[part, n, root]`` in order; 131,072 short rows at most."""
+    return sorted([r["part"], r["n"], r["root"].hex()] for r in manifest(spark, folder).collect())
 
 
-def verify(spark, folder: str) -> DataFrame:
+def _root_of(parts: list[list]) -> str:
+    return merkle([f"{p}:{n}:{r}".encode() for p, n, r in parts]).hex()
+
+
+def commit(spark, folder: str) -> list[list]:
+    """Write the manifest of a store beside it; returns its parts."""
+    parts = parts_of(spark, folder)
+    commit_json(spark, folder, "manifest.json", {"parts": parts, "root": _root_of(parts)})
+    return parts
+
+
+def verify(spark, folder: str, found: list[list] | None = None) -> DataFrame:
     """``(doc_id, n_tokens, n_chunks, merkle_root, verified)`` of every recipe.
 
     A document is verified if each of its chunks is in the store, has the bytes that its hash
-    stands for, if their lengths add up, and if the root follows from the recipe.
+    stands for, if their lengths add up, if the root follows from the recipe, and if the store has a
+    manifest that is whole and gives the part in which the recipe is as it is now: where a recipe is
+    lost or added, those of its part aren't verified. A part that is gone gives one row of nulls that isn't
+    verified. Lost chunks show in the documents that need them. ``found`` is parts_of() the store, if known.
     """
+    found = parts_of(spark, folder) if found is None else found
+    try:
+        known = read_json(f"{folder}/manifest.json")
+    except FileNotFoundError:
+        known = {"parts": [], "root": ""}
+    whole = _root_of(known["parts"]) == known["root"]
+    now, then = ({p: (n, r) for p, n, r in x if p[0] == "r"} for x in (found, known["parts"]))
+    damaged = [p[1:] for p in now if not whole or then.get(p) != now[p]]
+    lost = [p for p in then if p not in now]
     docs = recipes(spark, folder).withColumn("row", F.monotonically_increasing_id())
     parts = docs.select("row", F.explode("recipe").alias("digest"))
     got = parts.join(_digests(chunks(spark, folder)), "digest", "left").groupBy("row").agg(F.sum("n").alias("n"), F.min(F.coalesce("sound", F.lit(False))).alias("sound"))
 
     def roots(batches):
+        bad = {bytes.fromhex(p) for p in damaged}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([merkle(r) == x for r, x in zip(b.column("recipe").to_pylist(), b.column("root").to_pylist())])], [*b.schema.names[:-2], "follows"])
+            ok = [merkle(r) == x and x[:2] not in bad for r, x in zip(b.column("recipe").to_pylist(), b.column("root").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(ok, pa.bool_())], [*b.schema.names[:-2], "follows"])
 
     own = docs.select("row", "doc_id", "n_tokens", F.size("recipe").alias("n_chunks"), F.lower(F.hex("root")).alias("merkle_root"), "recipe", "root").mapInArrow(roots, "row long, doc_id long, n_tokens long, n_chunks int, merkle_root string, follows boolean")
-    return own.join(got, "row", "left").select("doc_id", "n_tokens", "n_chunks", "merkle_root", (F.col("follows") & F.coalesce(F.col("sound"), F.lit(True)) & (F.coalesce("n", F.lit(0)) == F.col("n_tokens"))).alias("verified"))
+    out = own.join(got, "row", "left").select("doc_id", "n_tokens", "n_chunks", "merkle_root", (F.col("follows") & F.coalesce(F.col("sound"), F.lit(True)) & (F.coalesce("n", F.lit(0)) == F.col("n_tokens"))).alias("verified"))
+    if lost:
+        out = out.union(spark.createDataFrame([(None, None, None, None, False)] * len(lost), out.schema))
+    return out
 
 
 def reconstruct(spark, folder: str) -> DataFrame:
@@ -196,15 +242,15 @@ def reconstruct(spark, folder: str) -> DataFrame:
 def store(docs: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write a store of ``docs``, commit its manifest, and return verify() of it.
 
-    Nulls: a null text is a document of no ids and no chunks; a null id stays null. Rows that
-    repeat have a recipe each and share their chunks. An empty table gives no rows.
+    Nulls: a null text is a document of no ids and no chunks, as an empty one is; a null id stays null.
+    Rows that repeat have a recipe each and share their chunks. Texts have no greatest length. An empty
+    table gives no rows. Columns besides doc_id and text, whatever their names, aren't read.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "cas")
     if "text" not in docs.columns:
         raise ValueError("no column text")
     write_store(docs, folder, tokenizer)
-    from lodestar.llm.store_fs import commit_json, open_fs
     from pyarrow.fs import FileType
 
     system, path = open_fs(folder)
@@ -212,6 +258,4 @@ def store(docs: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
         return docs.limit(0).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(0).alias("n_chunks"), F.lit("").alias("merkle_root"), F.lit(True).alias("verified"))
     if system.get_file_info(f"{path}/kind=chunks").type == FileType.NotFound:
         system.create_dir(f"{path}/kind=chunks")
-    parts = sorted((r["part"], r["n_chunks"], r["root"].hex()) for r in manifest(spark, folder).collect())  # 65,536 short rows at most
-    commit_json(spark, folder, "manifest.json", {"parts": parts, "root": merkle([bytes.fromhex(p[2]) for p in parts]).hex()})
-    return verify(spark, folder)
+    return verify(spark, folder, commit(spark, folder))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lodestar.llm.store_fs import open_fs
+from lodestar.sources.files import open_fs
 from lodestar.runtime import cut, scratch
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"

@@ -58,6 +58,7 @@ def test_store_round_trip(spark, sf):
     enc = tokens.encoder(tokens.TOKENIZER)
     want = {r.doc_id: enc.encode_ordinary(r.text) for r in docs.collect()}
     assert {r.doc_id: list(r.ids) for r in cas.reconstruct(spark, folder).collect()} == want
+    cas.commit(spark, folder)
     c = cas.chunks(spark, folder)
     assert c.count() == c.select("digest").distinct().count()
     assert all(r.verified for r in cas.verify(spark, folder).collect())
@@ -69,6 +70,7 @@ def test_damage_is_found(spark, docs_of, tmp_path):
     docs = docs_of(["one two three four " * 200, "another text altogether " * 150])
     folder = str(tmp_path / "cas")
     cas.write_store(docs, folder)
+    cas.commit(spark, folder)
     kept = cas.chunks(spark, folder).collect()
     bad = [(bytearray(r.digest), bytearray(r.ids[:-2] + b"\x01\x00") if i == 0 else r.ids) for i, r in enumerate(kept)]
     spark.createDataFrame(bad, "digest binary, ids binary").write.mode("overwrite").parquet(f"{folder}/kind=chunks")
@@ -77,6 +79,20 @@ def test_damage_is_found(spark, docs_of, tmp_path):
     assert cas.verify(spark, folder).filter(~F.col("verified")).count() >= 1
 
 
+def test_lost_recipes_are_found(spark, docs_of, tmp_path):
+    docs = docs_of(["one two three four " * 200, "another text altogether " * 150, "one two three four " * 200, ""])
+    folder = str(tmp_path / "cas")
+    cas.write_store(docs, folder)
+    assert not any(r.verified for r in cas.verify(spark, folder).collect())  # no manifest yet
+    cas.commit(spark, folder)
+    assert all(r.verified for r in cas.verify(spark, folder).collect())
+    kept = [(r.doc_id, r.n_tokens, r.recipe, r.root) for r in cas.recipes(spark, folder).collect()]
+    for lose, left in ((2, {0: False, 1: True, 3: True}), (1, {0: True, 2: True, 3: True, None: False})):
+        rows = [r for r in kept if r[0] != lose]
+        spark.createDataFrame(rows, "doc_id long, n_tokens long, recipe array<binary>, root binary").write.mode("overwrite").parquet(f"{folder}/kind=recipes")
+        assert {r.doc_id: r.verified for r in cas.verify(spark, folder).collect()} == left
+
+
 def test_cuts_cover_and_realign():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 50_000, 20_000).astype("<u2")
