@@ -19,7 +19,8 @@ group, of equals the one of least id, is the one to keep.
 Groups may have any size. Exact copies are folded first. Each set is held against the top that most
 of its buckets have, then components against the tops of their buckets and against a few other
 hubs, which folds large groups at little cost. At last every set is held against every member of
-its buckets that is still in another component, so each candidate pair is merged or checked.
+its buckets that is still in another component, so each candidate pair is merged or checked, but for
+pairs whose signatures agree less than those of 999 in 1,000 pairs at the bound of their distance do.
 """
 
 from __future__ import annotations
@@ -52,6 +53,9 @@ def bands_for(distance: int, rows: int) -> tuple[int, int]:
 #: (bands, rows) by distance of partitions; from len(BANDING) on, smaller sets ask by their samples.
 BANDING = (bands_for(0, 3), bands_for(1, 2))
 FUNCTIONS = max(b * r for b, r in BANDING)
+#: Of so many functions, a set carries 4 bits each to the buckets: pairs that agree in too few aren't checked.
+AGREE = 128
+BRIEF = [f"s{i}" for i in range(AGREE // 16)]
 SAMPLE = 24
 #: Rounds in which components are compared with some hub of each bucket before members are.
 HUBS = 4
@@ -72,6 +76,15 @@ def needed(n: int) -> int:
         k += 1
 
 
+def agreeing(jaccard: float) -> int:
+    """In how many of AGREE 4-bit values 999 of 1,000 pairs of this similarity agree at least."""
+    p, total, k = jaccard + (1 - jaccard) / 16, 0.0, -1
+    while total <= 0.001:
+        k += 1
+        total += math.comb(AGREE, k) * p**k * (1 - p) ** (AGREE - k)
+    return k
+
+
 #: By size, from 1 on; larger sets need what the last one needs.
 NEEDED = [*(needed(n) for n in range(1, 200)), needed(100_000)]
 
@@ -120,7 +133,7 @@ def band_keys(sig: np.ndarray, part: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """``(doc_id, id, t2, n, part, bands, shingles)`` of every row that has an id and a word; ``id`` is a hash of its words."""
+    """``(doc_id, id, t2, n, part, bands, shingles, s0, ...)`` of every row that has an id and a word; ``id`` is a hash of its words."""
 
     def run(batches):
         for batch in batches:
@@ -132,14 +145,17 @@ def sketch(docs: DataFrame) -> DataFrame:
                 at = np.append(at[:-1][some], len(v))
                 n = np.diff(at)
                 part = partition_of(n)
-                keys = band_keys(signatures(v, at), part)
+                sig = signatures(v, at)
+                keys = band_keys(sig, part)
+                four = (sig[:, :AGREE] & np.uint32(15)).astype(np.uint8)
+                brief = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << np.uint8(4)).view(np.int64)
                 short = (v >> np.uint64(32)).astype(np.uint32)
                 own = pa.array(some)
                 cols = [b.column("doc_id").take(own), pa.array(t1[some]), pa.array(t2[some]), pa.array(n.astype(np.int32)), pa.array(part), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id", "t2", "n", "part", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(c)) for c in brief.T)], ["doc_id", "id", "t2", "n", "part", "bands", "shingles", *BRIEF])
 
     picked = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, id long, t2 long, n int, part byte, bands binary, shingles binary")
+    return picked.mapInArrow(run, "doc_id long, id long, t2 long, n int, part byte, bands binary, shingles binary, " + ", ".join(f"{c} long" for c in BRIEF))
 
 
 def _by_part(part: np.ndarray, parts: int, *cols: np.ndarray):
@@ -306,8 +322,8 @@ def far_pairs(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
 
 
 def set_table(s: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, shingles)`` of the sets of ``ids``, by id."""
-    return cut_in_place(s.select("id", "shingles").dropDuplicates(["id"]).join(ids.distinct(), "id", "left_semi").sortWithinPartitions("id"))
+    """``(id, shingles, s0, ...)`` of the sets of ``ids``, by id."""
+    return cut_in_place(s.select("id", "shingles", *BRIEF).dropDuplicates(["id"]).join(ids.distinct(), "id", "left_semi").sortWithinPartitions("id"))
 
 
 def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -395,11 +411,25 @@ def _hub(members: DataFrame, turn: int) -> DataFrame:
     return pair.filter(_may(F.col("key"), F.col("x.part"), F.col("y.part"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _every(members: DataFrame) -> DataFrame:
-    """``(a, b)``, a above b: each member of a bucket and each larger one there of another component."""
-    left, right = members.select("key", F.col("comp").alias("ca"), "x"), members.select("key", F.col("comp").alias("cb"), F.col("x").alias("y"))
-    pair = left.join(right, "key").filter((F.col("x") > F.col("y")) & (F.col("ca") != F.col("cb")) & _may(F.col("key"), F.col("x.part"), F.col("y.part")))
-    return pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def _agree(key, one: list, two: list):
+    """Whether two sets' 4-bit values agree as often as the bound of a bucket's banding asks."""
+    same = F.lit(0)
+    for a, b in zip(one, two):
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        same = same + 16 - F.bit_count(x)
+    return same >= F.when(key.bitwiseAND(1) == 0, F.lit(agreeing(least_jaccard(0)))).otherwise(F.lit(agreeing(least_jaccard(1))))
+
+
+def _every(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)``, a above b: each member of a bucket and each larger one there of another component, but for pairs that agree in too little."""
+    m = members.select("key", "comp", "x", F.col("x.id").alias("id")).join(sets.select("id", *BRIEF), "id").select("key", "comp", "x", *BRIEF)
+    # one exchange serves both sides
+    left, right = m.alias("l"), m.alias("r")
+    far = (F.col("l.x") > F.col("r.x")) & (F.col("l.comp") != F.col("r.comp")) & _may(F.col("l.key"), F.col("l.x.part"), F.col("r.x.part"))
+    pair = left.join(right, (F.col("l.key") == F.col("r.key")) & far & _agree(F.col("l.key"), *([F.col(f"{side}.{c}") for c in BRIEF] for side in "lr")))
+    return pair.select(F.col("l.x.id").alias("a"), F.col("r.x.id").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, sketches: list[DataFrame], reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -435,7 +465,7 @@ def linked(docs: DataFrame, sketches: list[DataFrame], reps: DataFrame) -> tuple
         comps = _merged(comps, edges[-1])
         if _mutual(edges[-1]).count() < 0.1 * todo.count():
             break
-    todo = cut(_every(_now(members, comps)).union(far).distinct().join(done, ["a", "b"], "left_anti"))
+    todo = cut(_every(_now(members, comps), sets).union(far).distinct().join(done, ["a", "b"], "left_anti"))
     members = buckets = None
     release(spark)
     edges.append(cut(common(todo, sets)))
