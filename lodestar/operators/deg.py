@@ -108,6 +108,13 @@ class Deg:
             de, ds = self.to(ce, cs, pool)
             self.seeds = pool[split_frontier(-de, -ds)].tolist()[: max(1, config.max_seeds)] or [0]
 
+    #: Neighbours that a search left out by their first component alone.
+    skipped = 0
+
+    def one(self, qe, ids) -> np.ndarray:
+        """The first of to()."""
+        return np.sqrt(((self.e[ids] - qe) ** 2).sum(1)) / self.emax
+
     def to(self, qe, qs, ids) -> tuple[np.ndarray, np.ndarray]:
         """Both distances of objects from a point, each over its maximum."""
         return np.sqrt(((self.e[ids] - qe) ** 2).sum(1)) / self.emax, np.sqrt(((self.s[ids] - qs) ** 2).sum(1)) / self.smax
@@ -214,7 +221,16 @@ class Deg:
         def active(u):
             return [t for t, a in self.adjacency[u] if any(lo <= alpha <= hi for lo, hi in a)]
 
-        return beam_search(self._entries(), max(beam, k, 1), len(self.adjacency), active, distance)[:k]
+        def bounded(ids, worst):
+            de = self.one(qe, ids)
+            out = np.full(len(ids), np.inf)
+            use = alpha * de <= worst  # the other component can't make up for more than this
+            if use.any():
+                out[use] = distance(ids[use])
+            self.skipped += int((~use).sum())
+            return out
+
+        return beam_search(self._entries(), max(beam, k, 1), len(self.adjacency), active, distance, bounded if alpha > 0 else None)[:k]
 
 
 def build_sharded(objects: DataFrame, maxima: tuple[float, float], shards: int, config: DegConfig = DegConfig()) -> DataFrame:

@@ -29,8 +29,12 @@ def squared(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", d, d)
 
 
-def beam_search(entries, beam: int, limit: int, neighbours, distance) -> list[tuple[float, int]]:
-    """Best-first search with a bounded result: (distance, id) in order. ``distance`` takes an array of ids."""
+def beam_search(entries, beam: int, limit: int, neighbours, distance, bounded=None) -> list[tuple[float, int]]:
+    """Best-first search with a bounded result: (distance, id) in order. ``distance`` takes an array of ids.
+
+    ``bounded``, if given, takes ids and the distance from which on, the result being full, one is of no use;
+    it may give infinity for such an id instead of its distance, which changes no result.
+    """
     seen, frontier, found = set(), [], []
     for e in entries:
         if e < limit and e not in seen:
@@ -48,7 +52,8 @@ def beam_search(entries, beam: int, limit: int, neighbours, distance) -> list[tu
         if not fresh:
             continue
         seen.update(fresh)
-        for dist, v in zip(distance(np.array(fresh)).tolist(), fresh):
+        got = bounded(np.array(fresh), -found[0][0]) if bounded and len(found) >= beam else distance(np.array(fresh))
+        for dist, v in zip(got.tolist(), fresh):
             if len(found) < beam or dist < -found[0][0]:
                 heapq.heappush(frontier, (dist, v))
                 heapq.heappush(found, (-dist, -v))

@@ -17,6 +17,29 @@ def pair_maxima(objects: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     return both.agg(F.sqrt(F.max(squared_l2(F.col("ea"), F.col("eb")))).alias("emax"), F.sqrt(F.max(squared_l2(F.col("sa"), F.col("sb")))).alias("smax"))
 
 
+def sampled_pairs(objects: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``(a, b)``: up to ``n`` pairs of different objects, drawn by a seeded hash; a pair_maxima() over them takes no
+    product of all objects. The 2 n least hashes are paired, each with the one n places after it."""
+    drawn = objects.select("id").distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * n)
+    placed = drawn.withColumn("place", F.row_number().over(W.orderBy(F.xxhash64("id", F.lit(seed)), "id")))  # 2 n ids
+    half = placed.agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+    a = placed.crossJoin(F.broadcast(half)).filter("place <= half")  # one row
+    return a.select(F.col("id").alias("a"), (F.col("place") + F.col("half")).alias("place")).join(placed.withColumnRenamed("id", "b"), "place").select("a", "b")
+
+
+def second_modality(objects: DataFrame, seed: int = 0, *, projected: bool = False, size: int = 2) -> DataFrame:
+    """``objects (id, e)`` with ``s``: ``size`` numbers uniform over [0, 1) by a seeded hash of the id, or a fixed
+    seeded projection of ``e`` whose directions have independent normal coordinates."""
+    if not projected:
+        return objects.withColumn("s", F.array(*[(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(j)), 11) / F.lit(float(1 << 53))).cast("float") for j in range(size)]))
+    import numpy as np
+
+    n = objects.agg(F.max(F.size("e"))).first()[0] or 0
+    rows = np.random.default_rng(seed).standard_normal((size, n)) / max(1, n) ** 0.5
+    dot = lambda row: F.aggregate(F.zip_with("e", F.array(*map(F.lit, row.tolist())), lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x).cast("float")
+    return objects.withColumn("s", F.array(*map(dot, rows)) if n else F.array().cast("array<float>"))
+
+
 def components(queries: DataFrame, objects: DataFrame, maxima: DataFrame) -> DataFrame:
     """``(query_id, id, e, s)``: both distances, each over its maximum; a maximum of 0 gives 0."""
     q = queries.select("query_id", F.col("e").alias("qe"), F.col("s").alias("qs"))

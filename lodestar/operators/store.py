@@ -7,7 +7,9 @@ shape that the manifest records and carried out as Spark jobs.
 
 from __future__ import annotations
 
+import datetime
 import json
+import time
 import uuid
 import zlib
 from dataclasses import dataclass, field
@@ -34,13 +36,12 @@ class StoreConfig:
 class KeyedStore:
     """``key`` columns may be of any type that Parquet orders as Spark does: numbers, strings, bytes.
 
-    One writer at a time: of two that commit the same version one fails. Opening a store sweeps files
-    that its latest manifest doesn't name, so versions from before the last merge can then not be read.
+    One writer at a time: of two that commit the same version one fails. Opening a store changes nothing;
+    files that no manifest needs any more are deleted by ``sweep`` alone.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: str = "key", config: StoreConfig | None = None):
         self.spark, self.folder, self.key, self.config = spark, folder.rstrip("/"), key, config or StoreConfig()
-        self.sweep()
 
     # -- manifest -------------------------------------------------------------------------------
     def version(self) -> int:
@@ -66,11 +67,11 @@ class KeyedStore:
         levels = []
         for level in range(max((r["level"] for r in runs), default=-1) + 1):
             own = sorted((r for r in runs if r["level"] == level), key=lambda r: -r["sequence"])
-            levels.append(tuple(Run(r["sequence"], tuple(File(i, f["bytes"], f["min"], f["max"]) for i, f in enumerate(r["files"])), r["units"]) for r in own))
+            levels.append(tuple(Run(r["sequence"], tuple(File(i, f["bytes"], typed(f["min"]), typed(f["max"])) for i, f in enumerate(r["files"])), r["units"]) for r in own))
         return Tree(tuple(levels))
 
     def files(self) -> DataFrame:
-        rows = [(r["level"], r["sequence"], i, f["path"], f["bytes"], f["entries"], str(f["min"]), str(f["max"])) for r in self.manifest()["runs"] for i, f in enumerate(r["files"])]
+        rows = [(r["level"], r["sequence"], i, f["path"], f["bytes"], f["entries"], str(typed(f["min"])), str(typed(f["max"]))) for r in self.manifest()["runs"] for i, f in enumerate(r["files"])]
         return self.spark.createDataFrame(rows, "level int, run long, file int, path string, bytes long, entries long, min_key string, max_key string")
 
     # -- writing --------------------------------------------------------------------------------
@@ -114,7 +115,6 @@ class KeyedStore:
             return []
         written = self.spark.read.parquet(f"{self.folder}/{path}")
         bounds = written.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("n")).agg(F.min(self.key).alias("lo"), F.max(self.key).alias("hi"), F.count(F.lit(1)).alias("c")).collect()  # a row a file
-        plain = lambda v: bytes(v).hex() if isinstance(v, (bytes, bytearray)) else v
         return [{"path": f"{path}/{r['n']}", "bytes": found[r["n"]], "entries": r["c"], "min": plain(r["lo"]), "max": plain(r["hi"])} for r in sorted(bounds, key=lambda r: r["lo"])]
 
     # -- compaction -----------------------------------------------------------------------------
@@ -157,18 +157,23 @@ class KeyedStore:
         new = self._write(rows, sequence, job.target, about)
         state["runs"] = [r for r in state["runs"] if r["files"]]
         if new or kept:
-            state["runs"].append({"level": job.target, "sequence": sequence, "units": units, "files": sorted(new + kept, key=lambda f: f["min"])})
+            state["runs"].append({"level": job.target, "sequence": sequence, "units": units, "files": sorted(new + kept, key=lambda f: typed(f["min"]))})
         state.update(sequence=sequence, written_bytes=state["written_bytes"] + sum(f["bytes"] for f in new))
         self._commit(state)
 
-    def sweep(self) -> list[str]:
-        """Delete data files that no manifest from the latest on names, and unfinished ones; the paths that went."""
-        live = {f["path"] for r in self.manifest()["runs"] for f in r["files"]}
+    def sweep(self, older_than: float = 7 * 86400, versions: int = 1) -> list[str]:
+        """Delete data files that none of the latest ``versions`` manifests names and that are ``older_than``
+        seconds old, and unfinished manifests of that age; the paths that went.
+
+        Older versions can then not be read. The age spares runs that are being written and not committed yet.
+        """
+        latest, before = self.version(), time.time() - older_than
+        live = {f["path"] for v in range(max(0, latest - versions + 1), latest + 1) for r in self.manifest(v)["runs"] for f in r["files"]}
         system, root = open_fs(self.folder)
         from pyarrow.fs import FileSelector
 
-        gone = [i.path for i in system.get_file_info(FileSelector(f"{root}/data", recursive=True, allow_not_found=True)) if i.is_file and i.path.endswith(".parquet") and i.path[len(root) + 1 :] not in live]
-        gone += [f"{root}/manifest/{n}" for n, _ in names(f"{self.folder}/manifest") if n.endswith(".tmp")]
+        gone = [i.path for i in system.get_file_info(FileSelector(f"{root}/data", recursive=True, allow_not_found=True)) if i.is_file and i.path.endswith(".parquet") and i.mtime.timestamp() <= before and i.path[len(root) + 1 :] not in live]
+        gone += [i.path for i in system.get_file_info(FileSelector(f"{root}/manifest", allow_not_found=True)) if i.base_name.endswith(".tmp") and i.mtime.timestamp() <= before]
         for p in gone:
             system.delete_file(p)
         return gone
@@ -183,7 +188,7 @@ class KeyedStore:
         runs = self.manifest(version)["runs"]
         # deeper levels are older; within a level the sequence decides
         for age, r in enumerate(sorted(runs, key=lambda r: (-r["level"], r["sequence"]))):
-            paths = [f["path"] for f in r["files"] if (high is None or f["min"] <= high) and (low is None or f["max"] >= low)]
+            paths = [f["path"] for f in r["files"] if (high is None or typed(f["min"]) <= high) and (low is None or typed(f["max"]) >= low)]
             if paths:
                 part = self._read(paths).withColumn("_seq", F.lit(age))
                 out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -208,7 +213,15 @@ class KeyedStore:
         return self._resolved(cl.live(log, [self.key], ["_seq"]).drop("_seq", "is_tombstone"), version).orderBy(self.key)
 
     def get(self, keys: DataFrame) -> DataFrame | None:
-        log = self.log()
+        """The live rows of ``keys``; of each run only files whose bounds meet the span of the keys are opened."""
+        low, high = keys.agg(F.min(self.key), F.max(self.key)).first()
+        if low is None:
+            return self.scan().limit(0) if self.manifest()["runs"] else None
+        if isinstance(low, bytearray):
+            low, high = bytes(low), bytes(high)
+        log = self.log(low=low, high=high)
+        if log is None and self.manifest()["runs"]:
+            return self.scan().limit(0)
         return None if log is None else self._resolved(cl.get(log, keys, [self.key], ["_seq"]).drop("_seq", "is_tombstone"))
 
     def stats(self) -> dict:
@@ -220,6 +233,23 @@ class KeyedStore:
         return {"levels": len(self.tree(state).levels), "runs": len(state["runs"]), "files": len(files), "entries": sum(f["entries"] for f in files), "tree_bytes": tree, "disk_bytes": tree + far, "write_amplification": state["written_bytes"] / state["user_bytes"] if state["user_bytes"] else None}
 
 
+def plain(v):
+    """A key's bound as JSON: bytes, dates and times say their type, other values stand for themselves."""
+    if isinstance(v, (bytes, bytearray)):
+        return {"bytes": bytes(v).hex()}
+    if isinstance(v, datetime.datetime):
+        return {"time": v.isoformat()}
+    return {"date": v.isoformat()} if isinstance(v, datetime.date) else v
+
+
+def typed(v):
+    """What plain() was made from."""
+    if not isinstance(v, dict):
+        return v
+    (kind, text), = v.items()
+    return bytes.fromhex(text) if kind == "bytes" else datetime.datetime.fromisoformat(text) if kind == "time" else datetime.date.fromisoformat(text)
+
+
 def _crc(state: dict) -> int:
     return zlib.crc32(json.dumps(state, sort_keys=True).encode())
 
@@ -276,6 +306,12 @@ class VectorStore:
         fresh = knn.knn(queries, changed, k).select("query_id", "id")
         return knn.rerank(proposed.union(fresh), queries, vectors, k)
 
+    def stale_deletes(self) -> int:
+        """How many ids the index still holds that are deleted by now."""
+        if self.index is None:
+            return 0
+        return self.rows.scan(version=self.indexed).select("id").join(self.all().select("id"), "id", "left_anti").count()
+
     def footprint(self) -> dict:
         s = self.rows.stats()
         return {"disk_bytes": s["disk_bytes"], "tree_bytes": s["tree_bytes"], "index_vectors": self.index.codes.count() if self.index else 0}

@@ -12,7 +12,8 @@ def open_fs(uri: str):
     """``(file system, path)`` of a URI or an absolute path."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)  # Hadoop's names for S3
 
 
 def commit_json(spark, folder: str, name: str, value) -> None:

@@ -160,3 +160,33 @@ def test_result_csv(spark, tmp_path):
     metrics.write_results_csv(spark.createDataFrame([("w", 3.5)], "workload string, throughput_kops double"), str(tmp_path / "r"))
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("*.csv")).splitlines()
     assert len(text[0].split(",")) == 27 and text[1].startswith("w,,,") and text[1].count(",") == 26
+
+
+def test_sampled_pairs_and_second_modality(spark):
+    rng = np.random.default_rng(3)
+    objects = spark.createDataFrame([(i, [float(x) for x in rng.random(8)]) for i in range(101)], "id long, e array<float>")
+    for projected in (False, True):
+        o = hybrid.second_modality(objects, 5, projected=projected).cache()
+        rows = {r.id: r.s for r in o.collect()}
+        assert rows == {r.id: r.s for r in hybrid.second_modality(objects.repartition(3), 5, projected=projected).collect()}
+        assert all(len(s) == 2 for s in rows.values()) and len({tuple(s) for s in rows.values()}) == 101
+        assert projected or all(0 <= x < 1 for s in rows.values() for x in s)
+        pairs = hybrid.sampled_pairs(o, 30, 7)
+        got = [(r.a, r.b) for r in pairs.collect()]
+        assert len(got) == 30 and all(a != b for a, b in got)
+        some, whole = (hybrid.pair_maxima(o, p).first() for p in (pairs, None))
+        assert 0 < some.emax <= whole.emax and 0 < some.smax <= whole.smax
+    assert hybrid.sampled_pairs(objects.limit(5), 30).count() == 2
+
+
+def test_lower_bound_changes_no_result():
+    rng = np.random.default_rng(4)
+    e, s = rng.random((300, 8)).astype(np.float32), rng.random((300, 2)).astype(np.float32)
+    g = deg.Deg(e, s, (3.0, 1.5))
+    for alpha in (0.3, 0.8, 1.0):
+        for q in range(0, 300, 30):
+            got = g.search(e[q], s[q], alpha, 5, 20)
+            active = lambda u: [t for t, a in g.adjacency[u] if any(lo <= alpha <= hi for lo, hi in a)]
+            plain = deg.beam_search(g._entries(), 20, 300, active, lambda ids: (lambda d: d[1] + alpha * (d[0] - d[1]))(g.to(e[q], s[q], ids)))
+            assert got == plain[:5]
+    assert g.skipped > 0

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import numpy as np
@@ -29,12 +30,36 @@ def test_churn_against_a_dictionary(spark, tmp_path, growth, merge):
     assert sorted((r.key, r.value) for r in got.collect()) == sorted((k, v) for k, v in model.items() if k % 7 == 0)
     s = store.stats()
     assert s["write_amplification"] >= 1 and s["runs"] < 14
-    store.sweep()
+    assert store.sweep() == []  # all of it is young
+    store.sweep(0)
     again = KeyedStore(spark, str(tmp_path), config=StoreConfig(growth=growth(), merge=merge))
     assert [(r.key, r.value) for r in again.scan().collect()] == sorted(model.items())
     assert store.files().count() == s["files"]
 
 
+def test_opening_leaves_what_is_being_written(spark, tmp_path):
+    store = KeyedStore(spark, str(tmp_path))
+    store.put(spark.createDataFrame([(1, "a")], "key long, value string"))
+    files = store._write(spark.createDataFrame([(2, "b", False)], "key long, value string, is_tombstone boolean"), 2, 0)
+    KeyedStore(spark, str(tmp_path)).sweep()  # another process, in between
+    state = store.manifest()
+    state["runs"].append({"level": 0, "sequence": 2, "units": 1, "files": files})
+    state["sequence"] = 2
+    store._commit(state)
+    assert [(r.key, r.value) for r in store.scan().collect()] == [(1, "a"), (2, "b")]
+    assert store.get(spark.createDataFrame([(9,)], "key long")).collect() == []
+    assert [r.value for r in store.get(spark.createDataFrame([(2,), (None,)], "key long")).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("keys,kind", [([b"a", b"b", b"\xff"], "binary"), ([datetime.date(2020, 1, 1), datetime.date(2021, 1, 1), datetime.date(2022, 5, 5)], "date")])
+def test_keys_of_other_types(spark, tmp_path, keys, kind):
+    store = KeyedStore(spark, str(tmp_path))
+    store.put(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"key {kind}, value int"))
+    assert [r.value for r in store.scan(low=keys[1]).collect()] == [1, 2]
+    assert [r.value for r in store.get(spark.createDataFrame([(keys[0],)], f"key {kind}")).collect()] == [0]
+    assert KeyedStore(spark, str(tmp_path)).scan().count() == 3
+
+
 def test_units_add_up_and_corruption_is_found(spark, tmp_path):
     store = KeyedStore(spark, str(tmp_path), config=StoreConfig(growth=Vertical(1 << 40, 2), merge=Tiering()))
     for k in range(5):
