@@ -62,6 +62,11 @@ HUBS = 4
 #: Entries of one part of a packed shuffle, and shingles that a task holds before it writes them.
 PART = 1 << 19
 HELD = 3_000_000
+#: Shingles of COMMON of about SAMPLED different texts count as common; which ones do decides on the cost, not on the result.
+SAMPLED, COMMON = 8_000, 40
+#: A set asks for all its shingles where more than this share of them is common.
+WARM = 0.1
+_HOT = 1 << 30
 _SALTS = np.random.default_rng(7).integers(0, 1 << 32, (2, FUNCTIONS), dtype=np.uint32)
 
 
@@ -106,6 +111,53 @@ def sets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return v, vat, sums[0], sums[1]
 
 
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles (64 bits, ascending) that many texts of a sample have, of HELD shingles at most."""
+
+    def run(batches):
+        for batch in batches:
+            for b in pieces(batch, "text", 1 << 20):
+                v, at, t1, _ = sets_of(b.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array([v[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "v"])
+
+    def count(batches):
+        sets, held = {}, 0
+        for batch in batches:
+            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist()):
+                if i not in sets and held + len(v) // 8 <= HELD * 2:
+                    sets[i] = v
+                    held += len(v) // 8
+        v, n = np.unique(np.frombuffer(b"".join(sets.values()), np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(v[n >= COMMON])], ["key"])
+
+    own = docs.filter("doc_id is not null")
+    few = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLED))) == 0).select(F.col("text").cast("string").alias("text"))
+    rows = few.mapInArrow(run, "id long, v binary").repartition(1).mapInArrow(count, "key long").collect()
+    return np.sort(np.array([x.key for x in rows], np.int64).view(np.uint64))
+
+
+def is_in(v: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``v`` are among the few values ``some``, which ascend."""
+    out = np.zeros(len(v), bool)
+    if len(some):
+        head = np.zeros(1 << 16, bool)
+        head[some >> np.uint64(48)] = True
+        at = np.flatnonzero(head[v >> np.uint64(48)])
+        out[at] = some[np.minimum(np.searchsorted(some, v[at]), len(some) - 1)] == v[at]
+    return out
+
+
+def per_set(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of ``x`` over sets, modulo 2^64."""
+    z = np.concatenate([[x.dtype.type(0)], np.cumsum(x, dtype=x.dtype)])
+    return z[at[1:]] - z[at[:-1]]
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """T of so many shingles."""
+    return np.ceil(n * T - 1e-9).astype(np.int64)
+
+
 def signatures(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     """MinHash signatures, a row for each set; sets must not be empty."""
     x = (v >> np.uint64(32)).astype(np.uint32)
@@ -118,8 +170,11 @@ def signatures(v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """Bucket keys, a row for each set; their last bit is the banding. Those of distance 0 are of one partition each."""
+def band_keys(sig: np.ndarray, part: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Bucket keys, a row for each set; their last bit is the banding, the one before says that all rows are of common shingles.
+
+    Those of distance 0 are of one partition each. ``hot``: which values of ``sig`` are of common shingles.
+    """
     out = []
     for d, (bands, rows) in enumerate(BANDING):
         for k in range(bands):
@@ -128,12 +183,16 @@ def band_keys(sig: np.ndarray, part: np.ndarray) -> np.ndarray:
                 key += part.astype(np.uint64) << np.uint64(32)
             for r in range(rows):
                 key = mix64(key) + sig[:, k * rows + r]
-            out.append(mix64(key) & ~np.uint64(1) | np.uint64(d))
+            out.append(mix64(key) & ~np.uint64(3) | np.uint64(d) | hot[:, k * rows : (k + 1) * rows].all(1).astype(np.uint64) << np.uint64(1))
     return np.stack(out, 1)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """``(doc_id, id, t2, n, part, bands, shingles, s0, ...)`` of every row that has an id and a word; ``id`` is a hash of its words."""
+def sketch(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``(doc_id, id, t2, n, h, trace, part, bands, shingles, s0, ...)`` of every row that has an id and a word; ``id`` is a hash of its words.
+
+    ``h`` and ``trace``: how many of its shingles are among ``hot``, and a hash of those. Sets with one
+    trace that is T of each of them are copies, and share the last bucket.
+    """
 
     def run(batches):
         for batch in batches:
@@ -146,16 +205,25 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n = np.diff(at)
                 part = partition_of(n)
                 sig = signatures(v, at)
-                keys = band_keys(sig, part)
+                own = is_in(v, hot)
+                h = per_set(own.astype(np.int64), at)
+                trace = per_set(np.where(own, mix64(v ^ np.uint64(0x5BD1E995)), np.uint64(0)), at)
+                same = np.zeros(sig.shape, bool)
+                some_h = np.flatnonzero(h)
+                if len(some_h):
+                    same[some_h] = signatures(v[own], np.concatenate([[0], np.cumsum(h[some_h])])) == sig[some_h]
+                keys = band_keys(sig, part, same)
+                last = mix64(np.where(h >= least_shared(n), trace, mix64(t1[some].view(np.uint64) + np.uint64(1))))
+                keys = np.column_stack([keys, last & ~np.uint64(3) | np.uint64(2)])
                 four = (sig[:, :AGREE] & np.uint32(15)).astype(np.uint8)
                 brief = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << np.uint8(4)).view(np.int64)
                 short = (v >> np.uint64(32)).astype(np.uint32)
                 own = pa.array(some)
-                cols = [b.column("doc_id").take(own), pa.array(t1[some]), pa.array(t2[some]), pa.array(n.astype(np.int32)), pa.array(part), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(c)) for c in brief.T)], ["doc_id", "id", "t2", "n", "part", "bands", "shingles", *BRIEF])
+                cols = [b.column("doc_id").take(own), pa.array(t1[some]), pa.array(t2[some]), pa.array(n.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(trace.view(np.int64)), pa.array(part), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([short[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(c)) for c in brief.T)], ["doc_id", "id", "t2", "n", "h", "trace", "part", "bands", "shingles", *BRIEF])
 
     picked = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, id long, t2 long, n int, part byte, bands binary, shingles binary, " + ", ".join(f"{c} long" for c in BRIEF))
+    return picked.mapInArrow(run, "doc_id long, id long, t2 long, n int, h int, trace long, part byte, bands binary, shingles binary, " + ", ".join(f"{c} long" for c in BRIEF))
 
 
 def _by_part(part: np.ndarray, parts: int, *cols: np.ndarray):
@@ -191,7 +259,7 @@ def shared_buckets(s: DataFrame, total: int) -> DataFrame:
 
     Keys go to their part of the table packed, 17 bytes each, and are sorted there; ``total`` sets are expected.
     """
-    width = sum(b for b, _ in BANDING)
+    width = sum(b for b, _ in BANDING) + 1
     parts = max(16, total * width // PART)
 
     def run(batches):
@@ -219,27 +287,32 @@ def shared_buckets(s: DataFrame, total: int) -> DataFrame:
     return _unpacked(cut(found), "key long, id long, part byte", np.int64, np.int64, np.int8)
 
 
-def inverted(docs: DataFrame, total: int) -> DataFrame:
+def inverted(docs: DataFrame, total: int, hot: np.ndarray) -> DataFrame:
     """``(key, ref, part, more, id)`` of the shingles by which some set can find one that is len(BANDING) partitions larger or more.
 
-    Askers have in ``more`` how many such sets have the shingle, what they may find has 0 there.
+    Sets with more than WARM of common shingles ask with all their shingles, for sets of their own partition or a larger one.
+    Askers have in ``more`` how many such sets have the shingle, _HOT more if it is a common one, and in ``part`` the
+    least partition they ask for; what they may find has 0 in ``more``.
     ``total`` shingles are expected. A task writes its sets in rounds, numbered by partition, so that a
     shingle takes 6 bytes: its distance from the one before, the set's number, and whether it is in the sample.
     """
     parts = max(16, total // PART)
     far = len(BANDING)
+    listed = np.unique((hot >> np.uint64(24) << np.uint64(24)) + (hot & np.uint64(0xFFFFFF)) % np.uint64(parts))
 
     def packed(texts, sets):
         id_, first = np.unique(np.concatenate(texts), return_index=True)
         sets = [x for group in sets for x in group]
         n = np.array([len(sets[i]) for i in first])
-        order = np.argsort(partition_of(n), kind="stable")
-        id_, n, sets = id_[order], n[order], [sets[first[i]] for i in order]
-        starts = np.searchsorted(partition_of(n), np.arange(128)).astype(np.uint16)
+        warm = per_set(is_in(np.concatenate([sets[i] for i in first]), hot).astype(np.int64), np.concatenate([[0], np.cumsum(n)])) > n * WARM
+        kind = partition_of(n).astype(np.int64) | warm.astype(np.int64) << 6
+        order = np.argsort(kind, kind="stable")
+        id_, n, warm, sets = id_[order], n[order], warm[order], [sets[first[i]] for i in order]
+        starts = np.searchsorted(kind[order], np.arange(128)).astype(np.uint16)
         round_ = int(np.bitwise_xor.reduce(mix64(id_.view(np.uint64) + np.arange(len(id_), dtype=np.uint64)))) >> 17
         v = np.concatenate(sets)
         who = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-        ask = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) < SAMPLE
+        ask = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(np.where(warm, n, SAMPLE), n)
         who |= ask.astype(np.uint16) << np.uint16(15)
         part = ((v & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((v, part))
@@ -278,7 +351,7 @@ def inverted(docs: DataFrame, total: int) -> DataFrame:
             ref = np.concatenate([(r << 15) + np.arange(len(x)) for r, x in zip(rounds, ids)])
             none = np.zeros(len(ref), np.int64)
             return _packed("key ref part more id", none, ref, np.full(len(ref), -1, np.int8), none.astype(np.int32), np.concatenate(ids))
-        keys, refs, sizes, asks = [], [], [], []
+        keys, refs, kinds, asks = [], [], [], []
         for r, gap, high, who, extra in zip(rounds, *(t.column(c).to_pylist() for c in ("gap", "high", "who", "extra"))):
             g = np.frombuffer(gap, np.uint32).astype(np.int64)
             g = g | np.frombuffer(high, np.uint8).astype(np.int64) << 32 if high else g
@@ -287,43 +360,60 @@ def inverted(docs: DataFrame, total: int) -> DataFrame:
             asks.append(w >> 15 > 0)
             w = (w & 0x7FFF).astype(np.int64)
             refs.append((r << 15) + w)
-            sizes.append(np.searchsorted(np.frombuffer(extra, np.uint16), w, "right").astype(np.int64) - 1)
-        key, ref, size, ask = (np.concatenate(x) for x in (keys, refs, sizes, asks))
-        order = np.argsort(key << 7 | size, kind="stable")
-        key, ref, size, ask = key[order], ref[order], size[order], ask[order]
+            kinds.append(np.searchsorted(np.frombuffer(extra, np.uint16), w, "right").astype(np.int64) - 1)
+        key, ref, kind, ask = (np.concatenate(x) for x in (keys, refs, kinds, asks))
+        order = np.argsort(key << 7 | kind & 63, kind="stable")
+        key, ref, kind, ask = key[order], ref[order], kind[order], ask[order]
+        size, warm = kind & 63, kind >> 6
+        goal = np.where(warm, size, size + far)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
         seg = np.repeat(np.arange(len(first)), count)
-        least = np.repeat(np.minimum.reduceat(np.where(ask, size, 127), first), count)
-        more = np.repeat(first + count, count) - np.searchsorted(seg << 7 | size, seg << 7 | np.minimum(size + far, 127))
+        least = np.repeat(np.minimum.reduceat(np.where(ask, goal, 127), first), count)
+        more = np.repeat(first + count, count) - np.searchsorted(seg << 7 | size, seg << 7 | goal) - warm
         out = [np.empty(0, np.int64)] * 2, [np.empty(0, np.int8)], [np.empty(0, np.int32)]
-        asker, held = np.flatnonzero(ask & (more > 0)), np.flatnonzero(size >= least + far)
+        asker, held = np.flatnonzero(ask & (more > 0)), np.flatnonzero(size >= least)
         whole = (key << 24) + t.column("at")[0].as_py()
+        more += np.where(ask & is_in(whole.view(np.uint64), listed), _HOT, 0) * (more > 0)
         use = np.concatenate([asker, held])
-        return _packed("key ref part more id", whole[use], ref[use], size[use].astype(np.int8), np.concatenate([more[asker], np.zeros(len(held), np.int64)]).astype(np.int32), np.zeros(len(use), np.int64))
+        return _packed("key ref part more id", whole[use], ref[use], np.concatenate([goal[asker], size[held]]).astype(np.int8), np.concatenate([more[asker], np.zeros(len(held), np.int64)]).astype(np.int32), np.zeros(len(use), np.int64))
 
     picked = docs.filter("doc_id is not null").select(F.col("text").cast("string").alias("text"))
     found = picked.mapInArrow(run, "at long, round long, gap binary, high binary, who binary, extra binary").groupBy("at").applyInArrow(shared, "key binary, ref binary, part binary, more binary, id binary")
     return _unpacked(cut(found), "key long, ref long, part byte, more int, id long", np.int64, np.int64, np.int8, np.int32, np.int64)
 
 
-def far_pairs(docs: DataFrame, reps: DataFrame, total: int) -> DataFrame:
-    """``(a, b)``: sets b and sets a, len(BANDING) partitions larger or more, that b's sample finds."""
-    listed = inverted(docs, total)
+def far_lists(docs: DataFrame, reps: DataFrame, total: int, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``(key, b, least, common)``, the shingles by which sets ask for others, and ``(key, a, above)`` of the sets that have these.
+
+    A shingle is ``common`` here where it is one of ``hot`` and T of the asking set are, so that it has to ask with them.
+    """
+    listed = inverted(docs, total, hot)
     ids = listed.filter("part < 0").select("ref", "id").distinct()
     rows = cut(listed.filter("part >= 0").drop("id").join(ids, "ref").groupBy("key", "id", "part", F.col("more") > 0).agg(F.max("more").alias("more")).select("key", "id", "part", "more"))
     release(docs.sparkSession)
-    held = rows.filter("more = 0").select("key", F.col("id").alias("a"), F.col("part").alias("above"))
-    need = F.try_element_at(F.array(*map(F.lit, NEEDED)), F.least(F.col("n"), F.lit(len(NEEDED))))
-    asks = rows.filter("more > 0").join(reps.select("id", "n"), "id").withColumn("k", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("need", need).filter("k >= need")
+    warm = F.col("h") > F.col("n") * WARM
+    need = F.when(warm, F.ceil(F.col("n") * T - 1e-9)).otherwise(F.try_element_at(F.array(*map(F.lit, NEEDED)), F.least(F.col("n"), F.lit(len(NEEDED)))))
+    asks = rows.filter("more > 0").join(reps.select("id", "n", "h"), "id").withColumn("k", F.count(F.lit(1)).over(W.partitionBy("id"))).withColumn("need", need).filter("k >= need")
     asks = asks.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("more", "key"))).filter("rank <= k - need + 1")
-    found = asks.select("key", F.col("id").alias("b"), "part").join(held, "key").filter(F.col("above") >= F.col("part") + len(BANDING))
-    return found.select("a", "b").distinct()
+    asks = cut(asks.select("key", F.col("id").alias("b"), F.col("part").alias("least"), ((F.col("more") >= _HOT) & warm).alias("common")))
+    return asks, cut(rows.filter("more = 0").select("key", F.col("id").alias("a"), F.col("part").alias("above")).join(asks.select("key").distinct(), "key", "left_semi"))
+
+
+def across(asks: DataFrame, held: DataFrame) -> DataFrame:
+    """``asks (key, b, least, of)`` with the ``held (key, a, above, has)`` that they find in other groups, ``of`` and ``has``.
+
+    All but those of the group that has a key most often look at the whole list, that group at the rest of it only.
+    """
+    most = held.groupBy("key", "has").count().groupBy("key").agg(F.max(F.struct("count", "has"))["has"].alias("most"))
+    left, right = asks.join(most, "key"), held.join(most, "key")
+    one = left.filter("of != most").drop("most").join(right.drop("most"), "key").filter("of != has and above >= least")
+    return one.union(left.filter("of = most").drop("most").join(right.filter("has != most").drop("most"), "key").filter("above >= least").select(*one.columns))
 
 
 def set_table(s: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, shingles, s0, ...)`` of the sets of ``ids``, by id."""
-    return cut_in_place(s.select("id", "shingles", *BRIEF).dropDuplicates(["id"]).join(ids.distinct(), "id", "left_semi").sortWithinPartitions("id"))
+    """``(id, warm, shingles, s0, ...)`` of the sets of ``ids``, by id."""
+    return cut_in_place(s.select("id", (F.col("h") > F.col("n") * WARM).alias("warm"), "shingles", *BRIEF).dropDuplicates(["id"]).join(ids.distinct(), "id", "left_semi").sortWithinPartitions("id"))
 
 
 def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -422,28 +512,55 @@ def _agree(key, one: list, two: list):
     return same >= F.when(key.bitwiseAND(1) == 0, F.lit(agreeing(least_jaccard(0)))).otherwise(F.lit(agreeing(least_jaccard(1))))
 
 
-def _every(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b)``, a above b: each member of a bucket and each larger one there of another component, but for pairs that agree in too little."""
-    m = members.select("key", "comp", "x", F.col("x.id").alias("id")).join(sets.select("id", *BRIEF), "id").select("key", "comp", "x", *BRIEF)
-    # one exchange serves both sides
-    left, right = m.alias("l"), m.alias("r")
-    far = (F.col("l.x") > F.col("r.x")) & (F.col("l.comp") != F.col("r.comp")) & _may(F.col("l.key"), F.col("l.x.part"), F.col("r.x.part"))
+def _every(members: DataFrame, sets: DataFrame, lead: DataFrame) -> DataFrame:
+    """``(a, b)``, a above b: each member of a bucket and each larger one there of another component, but for pairs that agree in too little.
+
+    In buckets of common shingles alone only the sets ``lead (id)`` are compared: sets with more than WARM of these
+    ask for what they lie in, and with less of them a pair meets by its other shingles.
+    """
+    m = members.select("key", "comp", "x", F.col("x.id").alias("id")).join(sets.select("id", "warm", *BRIEF), "id").join(lead.select("id", F.lit(True).alias("lead")), "id", "left")
+    m = m.filter((F.col("key").bitwiseAND(2) == 0) | F.col("lead")).select("key", "comp", "x", "warm", *BRIEF)
+    # of two components one is not the one with most members
+    most = m.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("most"))
+    left, right = m.join(most, "key").filter("comp != most").alias("l"), m.alias("r")
+    over = F.col("l.x") > F.col("r.x")
+    above, below = (F.when(over, F.struct(f"{i}.x", f"{i}.warm")).otherwise(F.struct(f"{j}.x", f"{j}.warm")) for i, j in ("lr", "rl"))
+    asked = below["warm"] & (above["warm"] | (above["x"]["part"] > below["x"]["part"])) & (F.col("l.key").bitwiseAND(2) == 0)
+    far = (F.col("l.comp") != F.col("r.comp")) & _may(F.col("l.key"), above["x"]["part"], below["x"]["part"]) & ~asked
     pair = left.join(right, (F.col("l.key") == F.col("r.key")) & far & _agree(F.col("l.key"), *([F.col(f"{side}.{c}") for c in BRIEF] for side in "lr")))
-    return pair.select(F.col("l.x.id").alias("a"), F.col("r.x.id").alias("b")).distinct()
+    return pair.select(above["x"]["id"].alias("a"), below["x"]["id"].alias("b")).distinct()
+
+
+def tops(reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(id, top)``: the set to keep of the component of each."""
+    head = reps.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("id", "comp", RANK().alias("x"))
+    return cut(head.withColumn("top", F.max("x").over(W.partitionBy("comp"))).select("id", "top"))
+
+
+def RANK():
+    return F.struct("n", (-F.col("least")).alias("neg"), "id")
+
 
+def linked(docs: DataFrame, sketches: list[DataFrame], reps: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Verified edges ``(a, b, na, nb, both)`` among ``reps``, and ``(id, top)``.
 
-def linked(docs: DataFrame, sketches: list[DataFrame], reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified edges ``(a, b, na, nb, both)`` among ``reps (id, n)``, all those between components of copies, and ``(id, comp)``.
+    The edges are all those between components of copies, but of sets that are alike in their common shingles, and so
+    share as many with any set that only has common ones of theirs, the one with the highest top stands for the others.
 
     Takes the one table out of ``sketches``, so that its files can go as soon as they are not needed.
     """
     spark, s = docs.sparkSession, sketches.pop()
     sizes = reps.agg(F.count(F.lit(1)), F.sum("n")).first()
-    far = cut(far_pairs(docs, reps, sizes[1] or 0))
+    asks, held = far_lists(docs, reps, sizes[1] or 0, hot)
     release(spark)  # the packed shingles
     buckets = cut(shared_buckets(s, sizes[0]))
     release(spark)
-    ids = buckets.select("id").union(far.select(F.col("a").alias("id"))).union(far.select(F.col("b").alias("id")))
+    bounds = asks.filter("not common").groupBy("key").agg(F.min("least").alias("lo")).join(held.groupBy("key").agg(F.max("above").alias("hi")), "key").filter("hi >= lo")
+    ids = buckets.select("id").union(held.join(bounds, "key").filter("above >= lo").select("a")).union(asks.filter("not common").join(bounds, "key").filter("least <= hi").select("b"))
+    # of one trace: the smallest set of which it is T, and the highest
+    full = reps.filter(F.col("h") >= F.ceil(F.col("n") * T - 1e-9))
+    small = cut(full.groupBy("trace").agg(F.min(F.struct("n", "id"))["id"].alias("id")).select("id"))
+    ids = ids.union(full.select("id")).union(reps.filter("h > 0").groupBy("trace").agg(F.max(RANK())["id"].alias("id")).select("id"))
     sets, s = set_table(s, ids), None
     release(spark)  # the sketches
     # the top that most of a set's buckets have
@@ -465,26 +582,37 @@ def linked(docs: DataFrame, sketches: list[DataFrame], reps: DataFrame) -> tuple
         comps = _merged(comps, edges[-1])
         if _mutual(edges[-1]).count() < 0.1 * todo.count():
             break
-    todo = cut(_every(_now(members, comps), sets).union(far).distinct().join(done, ["a", "b"], "left_anti"))
+    now = lambda x, c, name: x.join(comps.select(F.col("id").alias(c), F.col("comp").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    far = across(now(asks.filter("not common").drop("common"), "b", "of"), now(held, "a", "has")).select("a", "b", (F.col("above") == F.col("least")).alias("level"))
+    # sets of one partition are told apart by id; others ask for larger ones
+    swap = F.col("level") & (F.col("a") < F.col("b"))
+    far = far.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    todo = cut(_every(_now(members, comps), sets, small).union(far).distinct().join(done, ["a", "b"], "left_anti"))
     members = buckets = None
     release(spark)
     edges.append(cut(common(todo, sets)))
     comps = _merged(comps, edges[-1])
+    head = tops(reps, comps)
+    # containment by common shingles alone, once for all sets of a trace
+    now = reps.join(head, "id")
+    large = now.filter("h > 0").groupBy("trace").agg(F.max(F.struct("top", RANK().alias("x"))).alias("m")).select(F.col("m.x.id").alias("a"), F.col("m.top").alias("ta"))
+    small = now.join(full.select("id").distinct(), "id", "left_semi").groupBy("trace", "n", "top").agg(F.min("id").alias("b")).select("b", F.col("top").alias("tb"))
+    some = asks.filter("common").drop("common").join(small, "b").withColumn("of", F.col("tb.id"))
+    rest = across(some, held.join(some.select("key").distinct(), "key", "left_semi").join(large, "a").withColumn("has", F.col("ta.id"))).filter("ta > tb")
+    edges.append(cut(common(rest.select("a", "b").distinct(), sets)))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
-    return out, comps
+    return out, head
 
 
 def placed(docs: DataFrame) -> DataFrame:
     """``(doc_id, id, group_id, kept)`` of every document that is in a group of two or more; ``id`` stands for its words."""
-    sketches = [cut(sketch(docs))]
+    hot = common_shingles(docs)
+    sketches = [cut(sketch(docs, hot))]
     exact = cut(sketches[0].select("doc_id", "id").distinct())
-    reps = cut(sketches[0].groupBy("id", "t2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-    edges, comp = linked(docs, sketches, reps)
-    rank = F.struct("n", (-F.col("least")).alias("neg"), "id")
-    head = reps.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("id", "comp", rank.alias("x"))
-    head = cut(head.withColumn("top", F.max("x").over(W.partitionBy("comp"))).select("id", "top"))
+    reps = cut(sketches[0].groupBy("id", "t2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("h").alias("h"), F.first("trace").alias("trace")))
+    edges, head = linked(docs, sketches, reps, hot)
     # a group whose member lies in a larger group's member joins the group it lies in most
     up = edges.select(F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("small"), F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("large"), (F.col("both") / F.least("na", "nb")).alias("share"))
     up = up.join(head.select(F.col("id").alias("small"), F.col("top").alias("ts")), "small").join(head.select(F.col("id").alias("large"), F.col("top").alias("tl")), "large").filter("tl > ts")

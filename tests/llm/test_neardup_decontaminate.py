@@ -278,3 +278,27 @@ def test_containment_in_crowded_buckets(spark, docs_of):
     texts = [" ".join(w) for w in large] + [" ".join(large[i][15:70]) for i in range(30)]
     g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts)).collect()}
     assert g == {i: i % 200 for i in [*range(30), *range(200, 230)]}
+
+
+def test_a_common_line_does_not_pair_all_that_have_it(spark, docs_of, monkeypatch):
+    rng = random.Random(24)
+    vocab = [f"w{i}" for i in range(4000)]
+    line = [rng.choice(vocab) for _ in range(14)]
+    texts = [[rng.choice(vocab) for _ in range(60 + i % 40)] + line for i in range(300)]
+    texts += [[rng.choice(vocab) for _ in range(12)] + line for _ in range(300)]
+    texts += [[rng.choice(vocab) for _ in range(3)] + line for _ in range(30)]
+    texts += [texts[7][50:] for _ in range(1)] + [texts[400][2:] + ["end"], line[:13]]
+    texts = [" ".join(w) for w in texts]
+    pairs = []
+    plain = nd.common
+
+    def counted(p, sets):
+        pairs.append(p.count())
+        return plain(p, sets)
+
+    monkeypatch.setattr(nd, "common", counted)
+    g = {r.doc_id: r.group_id for r in nd.groups(docs_of(texts)).collect()}
+    # short texts are copies of one another and lie in all others, so in the largest; all of it is compared once
+    best = 39
+    assert g == {**{i: best for i in [*range(600, 630), best, 632]}, 7: 7, 630: 7, 400: 400, 631: 400}
+    assert sum(pairs) < 3000
