@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,17 +75,80 @@ def split_frontier(e: np.ndarray, s: np.ndarray) -> np.ndarray:
     return out
 
 
+def depths(e: list[float], s: list[float]) -> list[int]:
+    """The frontier, counted from 0, that each point is on when they are peeled off one by one; equal points share one.
+
+    In order of (e, s) a point lies one below the last frontier that has as small an s already.
+    """
+    least: list[float] = []
+    out, before, at = [0] * len(e), None, 0
+    for p in sorted(range(len(e)), key=list(zip(e, s)).__getitem__):
+        if (e[p], s[p]) != before:
+            before, at = (e[p], s[p]), bisect_right(least, s[p])
+            least[at : at + 1] = [s[p]]
+        out[p] = at
+    return out
+
+
+def grouped(items: list, depth: list[int]) -> list[list]:
+    out: list[list] = [[] for _ in range(max(depth, default=-1) + 1)]
+    for x, at in zip(items, depth):
+        out[at].append(x)
+    return out
+
+
 def layered(ids: np.ndarray, e: np.ndarray, s: np.ndarray, limit: int) -> list[np.ndarray]:
     """Frontiers peeled off, as places among the points, until ``limit`` are out; the last one whole."""
-    left, out, taken = np.arange(len(ids)), [], 0
-    while len(left) and taken < limit:
-        top = split_frontier(e[left], s[left])
-        out.append(left[top])
-        taken += int(top.sum())
-        left = left[~top]
+    out, taken = [], 0
+    for places in grouped(list(range(len(ids))), depths(e.tolist(), s.tolist())):
+        if taken >= limit:
+            break
+        out.append(np.array(places))
+        taken += len(places)
     return out
 
 
+class Link:
+    """An edge while its graph is built: both lengths, and the range of weights at which each other edge of its vertex prunes it.
+
+    Edges of a vertex have a bit each; that of an edge that is gone isn't given again before shrink().
+    """
+
+    __slots__ = ("id", "e", "s", "bit", "pruners", "ranges", "by", "active", "wide")
+
+    def __init__(self, i: int, e: float, s: float, bit: int):
+        self.id, self.e, self.s, self.bit = i, e, s, bit
+        self.pruners, self.ranges, self.by, self.active, self.wide = 0, [], -1, FULL, False
+
+    def add(self, bit: int, lo: float, hi: float) -> None:
+        self.pruners |= bit
+        self.ranges.append((bit, lo, hi))
+
+    def rerange(self, by: int, fresh: int, least: float) -> None:
+        """``active`` is what the edges ``by`` leave; where only ``fresh``, the last one added, came to them, it is cut out of it."""
+        if self.by >= 0 and by == self.by | fresh:
+            _, a, b = self.ranges[-1]
+            self.active = [p for lo, hi in self.active for p in ((lo, min(hi, a)), (max(lo, b), hi)) if p[0] < p[1]]
+        else:
+            self.active = complement(joined([(lo, hi) for bit, lo, hi in self.ranges if bit & by]))
+        self.by, self.wide = by, bool(self.active) and measure(self.active) >= least
+
+
+def shrink(links: list[Link]) -> int:
+    """Forget what edges that are gone prune, and number those that are left anew; the next bit."""
+    bits = {x.bit: 1 << p for p, x in enumerate(links)}
+    for x in links:
+        x.ranges = [(bits[b], lo, hi) for b, lo, hi in x.ranges if b in bits]
+        x.pruners, by = 0, 0
+        for b, _, _ in x.ranges:
+            x.pruners |= b
+        for b, new in bits.items():
+            if x.by & b:
+                by |= new
+        x.by, x.bit = by, bits[x.bit]
+    return 1 << len(links)
+
+
 class Deg:
     def __init__(self, e: np.ndarray, s: np.ndarray, maxima: tuple[float, float], config: DegConfig = DegConfig(), state=None):
         self.e, self.s, self.config = e.astype(np.float32), s.astype(np.float32), config
@@ -93,20 +157,26 @@ class Deg:
         if state is not None:
             self.adjacency, self.seeds = state
             return
-        self.adjacency: list[list[tuple[int, Intervals]]] = [[] for _ in range(n)]
+        self.near: list[list[int]] = [[] for _ in range(n)]
+        self.bits = [1] * n  # the next edge's
+        self.links: list[list] = [[] for _ in range(n)]  # interval edges; lengths where alpha is fixed
         self.seeds: list[int] = [0] if n else []
         ce, cs = (self.e[0].astype(float), self.s[0].astype(float)) if n else (None, None)
+        fixed = config.fixed_alpha is not None
         for v in range(1, n):
-            self.adjacency[v] = self.select(v, self._candidates(v))
-            for t, _ in self.adjacency[v]:
-                self.adjacency[t].append((v, FULL))
-                ids = np.array([i for i, _ in self.adjacency[t]])
-                de, ds = self.between(t, ids)
-                self.adjacency[t] = self.select(t, [(ids[p], de[p], ds[p]) for p in layered(ids, de, ds, len(ids))])
+            layers = self._candidates(v)
+            if fixed:
+                self._select_fixed(v, layers)
+                self._link_back_fixed(v)
+            else:
+                self._select(v, layers)
+                self._link_back(v)
             ce, cs = ce + (self.e[v] - ce) / (v + 1), cs + (self.s[v] - cs) / (v + 1)
             pool = np.array([*self.seeds, *([v] if v not in self.seeds else [])])
             de, ds = self.to(ce, cs, pool)
             self.seeds = pool[split_frontier(-de, -ds)].tolist()[: max(1, config.max_seeds)] or [0]
+        self.adjacency: list[list[tuple[int, Intervals]]] = [[(i, FULL) for i in ids] if fixed else [(x.id, x.active) for x in ls] for ids, ls in zip(self.near, self.links)]
+        del self.near, self.links, self.bits
 
     #: Neighbours that a search left out by their first component alone.
     skipped = 0
@@ -134,7 +204,7 @@ class Deg:
                 de, ds = self.between(v, ids)
                 return ds + alpha * (de - ds)
 
-            ids = np.array([i for _, i in beam_search(self._entries(), max(1, c.build_pool), v, lambda u: [t for t, _ in self.adjacency[u]], distance)])
+            ids = np.array([i for _, i in beam_search(self._entries(), max(1, c.build_pool), v, lambda u: self.near[u], distance)])
             if c.fixed_alpha is not None or not len(ids):
                 de, ds = self.between(v, ids) if len(ids) else (np.empty(0), np.empty(0))
                 return [(ids, de, ds)]
@@ -159,7 +229,7 @@ class Deg:
             fresh = []
             for u in open_:
                 done.add(u)
-                for t, _ in self.adjacency[u]:
+                for t in self.near[u]:
                     if t < v and t not in seen:
                         seen.add(t)
                         fresh.append(t)
@@ -168,45 +238,134 @@ class Deg:
             ids, de, ds = np.concatenate([ids[keep], more]), np.concatenate([de[keep], fe]), np.concatenate([ds[keep], fs])
         return [(ids[p], de[p], ds[p]) for p in layers]
 
-    def select(self, v: int, layers) -> list[tuple[int, Intervals]]:
-        c = self.config
-        if c.fixed_alpha is not None:
-            return self._select_fixed(v, layers)
-        kept: list[tuple[int, float, float, Intervals]] = []
-        for ids, de, ds in layers:
-            for i, e, s in zip(ids.tolist(), de.tolist(), ds.tolist()):
-                active = FULL
-                if kept:
-                    ye, ys = self.between(i, np.array([k[0] for k in kept]))
-                    lo, hi = pruned_by((e, s), (np.array([k[1] for k in kept]), np.array([k[2] for k in kept])), (ye, ys))
-                    some = lo <= hi
-                    active = complement(joined(list(zip(lo[some].tolist(), hi[some].tolist()))))
-                if active and measure(active) >= c.min_active_width:
-                    kept.append((i, e, s, active))
-            if len(kept) >= c.max_degree:
+    def _kept(self, layers: list[list[Link]], fresh: int = 0) -> list[Link]:
+        """In order, an edge stays where those that stayed before it leave enough of its range; only what these change is computed again."""
+        c, out, kept = self.config, [], 0
+        for layer in layers:
+            for x in layer:
+                by = x.pruners & kept
+                if by != x.by:
+                    x.rerange(by, fresh, c.min_active_width)
+                if x.wide:
+                    out.append(x)
+                    kept |= x.bit
+            if len(out) >= c.max_degree:
                 break
-        return [(k[0], k[3]) for k in kept]
+        return out
 
-    def _select_fixed(self, v: int, layers) -> list[tuple[int, Intervals]]:
-        alpha = self.config.fixed_alpha
+    def _select(self, v: int, layers) -> None:
+        """The edges of a new vertex; ``layers`` are its candidates in order."""
+        ids = np.concatenate([x[0] for x in layers]) if layers else np.empty(0, int)
+        if not len(ids):
+            return
+        de, ds = (np.concatenate([x[k] for x in layers]) for k in (1, 2))
+        links = [Link(i, e, s, 1 << p) for p, (i, e, s) in enumerate(zip(ids.tolist(), de.tolist(), ds.tolist()))]
+        a, b = np.triu_indices(len(ids), 1)
+        xe, xs = self.e[ids], self.s[ids]
+        yz = np.sqrt(((xe[a] - xe[b]) ** 2).sum(1)) / self.emax, np.sqrt(((xs[a] - xs[b]) ** 2).sum(1)) / self.smax
+        prunes = np.zeros((2, len(ids), len(ids)))  # by pruner and pruned
+        prunes[0] = 2
+        for i, k in ((b, a), (a, b)):
+            prunes[:, k, i] = pruned_by((de[i], ds[i]), (de[k].astype(float), ds[k].astype(float)), yz)
+        kept: list[int] = []
+        p = 0
+        for layer in layers:
+            for p in range(p, p + len(layer[0])):
+                x = links[p]
+                x.rerange(x.pruners, 0, self.config.min_active_width)
+                if x.wide:
+                    kept.append(p)
+                    lo, hi = prunes[:, p, p + 1 :]
+                    some = np.flatnonzero(lo <= hi)
+                    for y, low, high in zip(some.tolist(), lo[some].tolist(), hi[some].tolist()):
+                        links[p + 1 + y].add(x.bit, low, high)
+            p += 1
+            if len(kept) >= self.config.max_degree:
+                break
+        lo, hi = prunes[:, kept][:, :, kept]
+        for y, x in zip(*(z.tolist() for z in np.nonzero(np.tril(lo <= hi, -1)))):
+            links[kept[x]].add(links[kept[y]].bit, float(lo[y, x]), float(hi[y, x]))
+        out = [links[p] for p in kept]
+        self.links[v], self.near[v] = out, [x.id for x in out]
+        self.bits[v] = shrink(out)
+
+    def _link_back(self, v: int) -> None:
+        """The edges to a new vertex. What others' edges prune there is known; only pairs with ``v`` are new, one batch for all."""
+        mine = self.links[v]
+        if not mine:
+            return
+        theirs = [self.links[x.id] for x in mine]
+        lens = [len(ls) for ls in theirs]
+        flat = [x for ls in theirs for x in ls]
+        e, s = np.array([x.e for x in flat], np.float32), np.array([x.s for x in flat], np.float32)
+        ve, vs = (np.repeat(np.array([getattr(x, c) for x in mine], np.float32), lens) for c in ("e", "s"))
+        yz = self.between(v, np.array([x.id for x in flat], int))
+        new = [Link(v, x.e, x.s, self.bits[x.id]) for x in mine]
+        owner = np.repeat(np.arange(len(mine)), lens)
+        lo, hi = pruned_by((ve, vs), (e.astype(float), s.astype(float)), yz)
+        some = np.flatnonzero(lo <= hi)
+        for o, p, low, high in zip(owner[some].tolist(), some.tolist(), lo[some].tolist(), hi[some].tolist()):
+            new[o].add(flat[p].bit, low, high)
+        lo, hi = pruned_by((e, s), (ve.astype(float), vs.astype(float)), yz)
+        some = np.flatnonzero(lo <= hi)
+        for o, p, low, high in zip(owner[some].tolist(), some.tolist(), lo[some].tolist(), hi[some].tolist()):
+            flat[p].add(new[o].bit, low, high)
+        for x, ls, fresh in zip(mine, theirs, new):
+            ls.append(fresh)
+            out = self._kept(grouped(ls, depths([y.e for y in ls], [y.s for y in ls])), fresh.bit)
+            if fresh.wide:
+                self.bits[x.id] = shrink(out) if fresh.bit >> 60 else fresh.bit << 1
+            else:
+                for y in out:
+                    if y.pruners & fresh.bit:
+                        y.pruners ^= fresh.bit
+                        y.ranges.pop()
+            self.links[x.id], self.near[x.id] = out, [y.id for y in out]
+
+    def _select_fixed(self, v: int, layers) -> None:
+        alpha, most = self.config.fixed_alpha, self.config.max_degree
         at = lambda d: d[1] + alpha * (d[0] - d[1])
         ids = np.concatenate([x[0] for x in layers]) if layers else np.empty(0, int)
         if not len(ids):
-            return []
+            return
         length = at(self.between(v, ids))
+        order = np.lexsort((ids, length))
+        ids, length = ids[order], length[order]
+        blocked = np.zeros(len(ids), bool)
         kept: list[int] = []
-        lengths: list[float] = []
-        for p in np.lexsort((ids, length)):
-            i = int(ids[p])
-            if len(kept) >= self.config.max_degree:
+        for p in range(len(ids)):
+            if len(kept) >= most:
                 break
-            if i == v:
-                continue
-            if kept and ((np.array(lengths) < length[p]) & (at(self.between(i, np.array(kept))) < length[p])).any():
+            if not blocked[p]:
+                kept.append(p)
+                blocked |= (length[p] < length) & (at(self.between(int(ids[p]), ids)) < length)
+        self.near[v], self.links[v] = ids[kept].tolist(), length[kept].tolist()
+
+    def _link_back_fixed(self, v: int) -> None:
+        """As _link_back(), edges being in order of length: those before ``v`` stay, those after it unless ``v`` prunes them."""
+        alpha, most = self.config.fixed_alpha, self.config.max_degree
+        mine = self.near[v]
+        lens = [len(self.near[t]) for t in mine]
+        ids = np.array([i for t in mine for i in self.near[t]], int)
+        de, ds = self.between(v, ids)
+        d = ds + alpha * (de - ds)
+        length = np.array([x for t in mine for x in self.links[t]], np.float32)
+        own = np.repeat(np.array(self.links[v], np.float32), lens)
+        owner = np.repeat(np.arange(len(mine)), lens)
+        out = np.bincount(owner[(length < own) & (d < own)], minlength=len(mine)).tolist()
+        pruned = ((own < length) & (d < length)).tolist()
+        begin = 0
+        for t, l, n, gone in zip(mine, self.links[v], lens, out):
+            part, begin = pruned[begin : begin + n], begin + n
+            if gone:
                 continue
-            kept.append(i)
-            lengths.append(float(length[p]))
-        return [(i, FULL) for i in kept]
+            near, links = self.near[t], self.links[t]
+            if any(part):
+                near, links = [i for i, p in zip(near, part) if not p], [x for x, p in zip(links, part) if not p]
+            place = bisect_right(links, l)
+            near.insert(place, v)
+            links.insert(place, l)
+            self.near[t], self.links[t] = near[:most], links[:most]
 
     def search(self, qe: np.ndarray, qs: np.ndarray, alpha: float, k: int, beam: int) -> list[tuple[float, int]]:
         """Along the edges that are active at ``alpha``, which is cut to [0, 1]."""
@@ -234,7 +393,7 @@ class Deg:
 
 
 def build_sharded(objects: DataFrame, maxima: tuple[float, float], shards: int, config: DegConfig = DegConfig()) -> DataFrame:
-    """``(shard, pos, id, e, s, targets, active, seeds)``: a graph a shard of ``objects (id, e, s)``."""
+    """``(shard, pos, id, e, s, targets, active, seeds)``: a graph a shard of ``objects (id, e, s)``; each shard is a task of its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -242,12 +401,14 @@ def build_sharded(objects: DataFrame, maxima: tuple[float, float], shards: int,
         return pd.DataFrame({"shard": pdf["shard"], "pos": np.arange(len(pdf), dtype=np.int32), "id": pdf["id"], "e": pdf["e"], "s": pdf["s"], "targets": [[t for t, _ in a] for a in g.adjacency], "active": [[[x for p in i for x in p] for _, i in a] for a in g.adjacency], "seeds": [g.seeds if p == 0 else None for p in range(len(pdf))]})
 
     placed = objects.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("bigint").alias("id"), F.col("e").cast("array<float>").alias("e"), F.col("s").cast("array<float>").alias("s"))
-    return placed.groupBy("shard").applyInPandas(run, "shard int, pos int, id long, e array<float>, s array<float>, targets array<int>, active array<array<double>>, seeds array<int>")
+    return placed.repartitionById(shards, "shard").groupBy("shard").applyInPandas(run, "shard int, pos int, id long, e array<float>, s array<float>, targets array<int>, active array<array<double>>, seeds array<int>")
 
 
 def search_sharded(index: DataFrame, queries: DataFrame, maxima: tuple[float, float], alpha: float, k: int, beam: int, config: DegConfig = DegConfig()) -> DataFrame:
     """``(query_id, id, distance, rank)`` of ``queries (query_id, e, s)``."""
-    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("e").cast("array<float>").alias("e"), F.col("s").cast("array<float>").alias("s")).crossJoin(index.select(F.col("shard").alias("at")).distinct())
+    at = index.select(F.col("shard").alias("at")).distinct()
+    shards = (at.agg(F.max("at")).first()[0] or 0) + 1
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("e").cast("array<float>").alias("e"), F.col("s").cast("array<float>").alias("s")).crossJoin(at)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -259,5 +420,5 @@ def search_sharded(index: DataFrame, queries: DataFrame, maxima: tuple[float, fl
         rows = [(q, ids[v], d) for q, e, s in zip(right["query_id"], right["e"], right["s"]) for d, v in g.search(np.asarray(e, np.float32), np.asarray(s, np.float32), alpha, k, beam)]
         return pd.DataFrame(rows, columns=["query_id", "id", "distance"])
 
-    found = index.groupBy("shard").cogroup(asked.groupBy("at")).applyInPandas(run, "query_id long, id long, distance double")
+    found = index.repartitionById(shards, "shard").groupBy("shard").cogroup(asked.repartitionById(shards, "at").groupBy("at")).applyInPandas(run, "query_id long, id long, distance double")
     return rank_top(found, k)

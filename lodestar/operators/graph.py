@@ -15,6 +15,14 @@ from lodestar.operators.knn import rank_top
 
 TINY = np.finfo(np.float32).tiny
 
+#: Rows a shard. Time and memory of a shard's task, and so a row's share, don't grow with the table; the number of shards does.
+SHARD = 1000
+
+
+def shards_of(rows: DataFrame, least: int) -> int:
+    """Shards for a table's rows: ``least``, or more where shards would be larger than SHARD."""
+    return max(least, -(-rows.count() // SHARD))
+
 
 @dataclass(frozen=True)
 class GraphConfig:

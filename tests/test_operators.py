@@ -190,3 +190,65 @@ def test_lower_bound_changes_no_result():
             plain = deg.beam_search(g._entries(), 20, 300, active, lambda ids: (lambda d: d[1] + alpha * (d[0] - d[1]))(g.to(e[q], s[q], ids)))
             assert got == plain[:5]
     assert g.skipped > 0
+
+
+def plain_edges(g, links, v, ids):
+    """Edges of ``v`` chosen anew among ``ids``, in order of their frontiers."""
+    de, ds = g.between(v, np.array(ids, int))
+    kept = []
+    for layer in deg.layered(np.array(ids), de, ds, len(ids)) if links is None else links:
+        for p in layer.tolist():
+            active = deg.FULL
+            if kept:
+                yz = g.between(ids[p], np.array([ids[k] for k, _ in kept]))
+                at = np.array([k for k, _ in kept])
+                lo, hi = deg.pruned_by((de[p], ds[p]), (de[at].astype(float), ds[at].astype(float)), yz)
+                active = deg.complement(deg.joined([x for x in zip(lo.tolist(), hi.tolist()) if x[0] <= x[1]]))
+            if active and deg.measure(active) >= g.config.min_active_width:
+                kept.append((p, active))
+        if len(kept) >= g.config.max_degree:
+            break
+    return [(ids[p], active) for p, active in kept]
+
+
+@pytest.mark.parametrize("integers", [False, True])
+def test_deg_edges_are_those_chosen_anew_at_each_insertion(integers, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (120, 5)).astype(np.float32) if integers else rng.normal(size=(120, 10)).astype(np.float32)
+    e, s = x[:, :-2], x[:, -2:]
+    calls, to = [], deg.Deg.to
+    monkeypatch.setattr(deg.Deg, "to", lambda *a: calls.append(1) or to(*a))
+    for most in (8, 32):
+        calls.clear()
+        g = deg.Deg(e, s, (5.0, 3.0), deg.DegConfig(max_degree=most))
+        assert len(calls) < 120 * 20  # not one for each pair of edges of each neighbour
+        want = [[] for _ in x]
+        for v in range(1, len(x)):
+            g.near = [[i for i, _ in a] for a in want]
+            g.seeds, seeds = seeds_of(g, v), g.seeds
+            layers = g._candidates(v)
+            g.seeds = seeds
+            ids = np.concatenate([c[0] for c in layers]).tolist()
+            ends = np.cumsum([0, *(len(c[0]) for c in layers)])
+            want[v] = plain_edges(g, [np.arange(a, b) for a, b in zip(ends, ends[1:])], v, ids)
+            for t, _ in want[v]:
+                want[t] = plain_edges(g, None, t, [*(i for i, _ in want[t]), v])
+        assert g.adjacency == want
+
+
+def seeds_of(g, n):
+    """The seeds after ``n`` insertions."""
+    seeds, ce, cs = [0], g.e[0].astype(float), g.s[0].astype(float)
+    for v in range(1, n):
+        ce, cs = ce + (g.e[v] - ce) / (v + 1), cs + (g.s[v] - cs) / (v + 1)
+        pool = np.array([*seeds, *([v] if v not in seeds else [])])
+        de, ds = g.to(ce, cs, pool)
+        seeds = pool[deg.split_frontier(-de, -ds)].tolist()[: g.config.max_seeds] or [0]
+    return seeds
+
+
+def test_shards_grow_with_the_table_and_are_tasks(spark):
+    assert graph.shards_of(spark.range(10), 4) == 4 and graph.shards_of(spark.range(graph.SHARD * 9 + 1), 4) == 10
+    objects = spark.range(40).select("id", F.array(F.col("id").cast("float")).alias("e"), F.array(F.lit(1.0).cast("float")).alias("s"))
+    built = deg.build_sharded(objects, (40.0, 1.0), 6).withColumn("task", F.spark_partition_id()).groupBy("shard").agg(F.collect_set("task").alias("t")).collect()
+    assert len({tuple(r.t) for r in built}) == len(built) == 6
