@@ -65,9 +65,10 @@ def split_values(rows: DataFrame, value: str, threshold: int) -> tuple[DataFrame
 
 def resolve_values(inline: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """The rows of split_values() put together again; a pointer without its value, or of another length, is an error."""
-    joined = inline.join(values, "pointer", "left")
-    whole = F.when(F.col("pointer").isNull(), F.col(value)).when(F.octet_length("far_value") == F.col("length"), F.col("far_value")).otherwise(F.raise_error(F.lit("value log: no such value")))
-    return joined.withColumn(value, whole).drop("far_value", "pointer", "length")
+    pointed = inline.filter(F.col("pointer").isNotNull()).join(values, "pointer", "left")
+    whole = F.when(F.octet_length("far_value") == F.col("length"), F.col("far_value")).otherwise(F.raise_error(F.lit("value log: no such value")))
+    far = pointed.withColumn(value, whole).drop("far_value", "pointer", "length")
+    return inline.filter(F.col("pointer").isNull()).drop("pointer", "length").unionByName(far)  # they would all meet in one task of a join
 
 
 def deduplicated_by_age(rows: DataFrame, key: list[str], age: str) -> DataFrame:

@@ -252,3 +252,16 @@ def test_shards_grow_with_the_table_and_are_tasks(spark):
     objects = spark.range(40).select("id", F.array(F.col("id").cast("float")).alias("e"), F.array(F.lit(1.0).cast("float")).alias("s"))
     built = deg.build_sharded(objects, (40.0, 1.0), 6).withColumn("task", F.spark_partition_id()).groupBy("shard").agg(F.collect_set("task").alias("t")).collect()
     assert len({tuple(r.t) for r in built}) == len(built) == 6
+
+
+def test_values_in_place_take_no_part_in_the_join(spark):
+    """They have no pointer, and rows without a key all go to one task."""
+    df = spark.range(0, 400, 1, 4).select(F.col("id").alias("key"), F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 4 == 1, F.repeat(F.col("id").cast("string"), 40)).otherwise(F.col("id").cast("string")).alias("value"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cl.resolve_values(*cl.split_values(df, "value", 100), "value").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.key, r.value) for r in got) == sorted((r.key, r.value) for r in df.collect())
+    near = [r.task for r in got if r.value is None or len(r.value) < 100]
+    assert max(map(near.count, set(near))) <= len(near) / 2
