@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestar.functions.distance import hybrid, squared_l2
-from lodestar.operators.knn import rank_top
+from lodestar.operators.knn import as_matrix, rank_top
 from lodestar.runtime import cut
 
 
@@ -17,6 +21,74 @@ def pair_maxima(objects: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     return both.agg(F.sqrt(F.max(squared_l2(F.col("ea"), F.col("eb")))).alias("emax"), F.sqrt(F.max(squared_l2(F.col("sa"), F.col("sb")))).alias("smax"))
 
 
+#: Objects in a group; a pair of groups is one task of whole_maxima().
+GROUP = 50_000
+
+
+def farthest(a: np.ndarray, b: np.ndarray | None, least: float = 0.0, block: int = 2048) -> float:
+    """The largest squared distance of a row of ``a`` and one of ``b``, or of two of ``a``; ``least`` if none is larger.
+
+    Single-precision products select, with room for their rounding; what is selected is computed again in double
+    precision from the left. Blocks are by distance from the mean; two that can't hold a larger one are passed over.
+    """
+    centre = a.mean(0)
+    sides = []
+    for x in (a,) if b is None else (a, b):
+        r = np.sqrt(((x - centre) ** 2).sum(1))
+        order = np.argsort(-r, kind="stable")
+        x, r = x[order], r[order]
+        c = (x - centre).astype(np.float32)
+        n, one = (c * c).sum(1, keepdims=True), np.ones((len(c), 1), np.float32)
+        sides.append((x, r, np.hstack([c, n, one]), np.hstack([-2 * c, one, n])))
+    (x, rx, left, _), (y, ry, _, right) = sides[0], sides[-1]
+    for i in range(0, len(x), block):
+        for j in range(i if b is None else 0, len(y), block):
+            if (rx[i] + ry[j]) ** 2 * (1 + 1e-9) < least:
+                break
+            near = left[i : i + block] @ right[j : j + block].T
+            room = np.float32(2e-5) * np.float32(rx[i] + ry[j]) ** 2
+            edge = max(near.max() - room, least - room)
+            if near.max() < edge:
+                continue
+            p, q = np.nonzero(near >= edge)
+            for at in range(0, len(p), 1 << 16):
+                d = x[i : i + block][p[at : at + (1 << 16)]] - y[j : j + block][q[at : at + (1 << 16)]]
+                least = max(least, float(np.cumsum(d * d, axis=1)[:, -1].max(initial=0)) if d.shape[1] else 0.0)
+    return least
+
+
+def whole_maxima(objects: DataFrame) -> tuple[float, float]:
+    """As pair_maxima() of all ``objects (id, e, s)``, at any size: groups of fixed size, and a task for each pair of them.
+
+    Every pair of objects is covered, by matrix products, so time is quadratic in the end; memory of a task is bounded.
+    """
+    groups = max(1, -(-objects.count() // GROUP))
+    tasks = groups * (groups + 1) // 2
+    number = lambda g, h: F.when(g <= h, h * (h + 1) / 2 + g).otherwise(g * (g + 1) / 2 + h).cast("int")
+    placed = objects.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "e", "s")
+    sent = placed.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(number(F.col("g"), F.col("h")).alias("task"), "g", "e", "s")
+
+    def run(batches):
+        parts: dict[int, dict[int, list]] = {}
+        for x in batches:
+            g, task = (x.column(c).to_numpy() for c in ("g", "task"))
+            e, s = (as_matrix(x.column(c), np.float64) for c in ("e", "s"))
+            for t, k in sorted(set(zip(task.tolist(), g.tolist()))):
+                some = (task == t) & (g == k)
+                parts.setdefault(t, {}).setdefault(k, []).append((e[some], s[some]))
+        for sides in parts.values():
+            found = []
+            for c in (0, 1):
+                both = [np.concatenate([x[c] for x in sides[k]]) for k in sorted(sides)]
+                if not all(np.isfinite(x).all() for x in both):
+                    raise ValueError("vectors that aren't finite")
+                found.append(farthest(both[0], both[1] if len(both) > 1 else None))
+            yield pa.RecordBatch.from_arrays([pa.array([found[0]]), pa.array([found[1]])], ["e", "s"])
+
+    most = sent.repartitionById(tasks, "task").mapInArrow(run, "e double, s double").agg(F.max("e"), F.max("s")).first()
+    return math.sqrt(most[0] or 0.0), math.sqrt(most[1] or 0.0)
+
+
 def sampled_pairs(objects: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``(a, b)``: up to ``n`` pairs of different objects, drawn by a seeded hash; a pair_maxima() over them takes no
     product of all objects. The 2 n least hashes are paired, each with the one n places after it."""

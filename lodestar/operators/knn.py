@@ -18,16 +18,16 @@ def rank_top(scored: DataFrame, k: int, by: str = "query_id", order=("distance",
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def as_matrix(col: pa.Array) -> np.ndarray:
+def as_matrix(col: pa.Array, kind=np.float32) -> np.ndarray:
     """An Arrow list column as a matrix; an error if lengths differ or a value is missing."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if not len(col):
-        return np.empty((0, 0), np.float32)
+        return np.empty((0, 0), kind)
     sizes = np.diff(col.offsets.to_numpy())
     if col.null_count or (sizes != sizes[0]).any():
         raise ValueError("vectors are missing or of different lengths")
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(np.float32)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(kind)
 
 
 def packed(df: DataFrame, key: str, vector: str, names: tuple[str, str, str], block: int = BLOCK) -> DataFrame:

@@ -339,9 +339,9 @@ def deg_search(spark, sf, alpha=0.5, config=None):
     from lodestar.operators import deg, graph
     from lodestar.runtime import cut
 
-    m = tuple(_maxima(spark, sf).first())
     config = config or deg.DegConfig(build_pool=64)
     objects = _objects(spark, sf)
+    m = hybrid.whole_maxima(objects)
     index = cut(deg.build_sharded(objects, m, graph.shards_of(objects, 8), config))
     return deg.search_sharded(index, _hybrid_queries(spark, sf), m, alpha, K, 48, config).select("query_id", "id", "distance")
 

@@ -265,3 +265,34 @@ def test_values_in_place_take_no_part_in_the_join(spark):
     assert sorted((r.key, r.value) for r in got) == sorted((r.key, r.value) for r in df.collect())
     near = [r.task for r in got if r.value is None or len(r.value) < 100]
     assert max(map(near.count, set(near))) <= len(near) / 2
+
+
+def test_maxima_are_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 7)) + 40
+    x[650, :4] += 9  # far from all
+    objects = spark.createDataFrame([(i, r[:4].tolist(), r[4:].tolist()) for i, r in enumerate(x)], "id long, e array<double>, s array<double>")
+    want = tuple(hybrid.pair_maxima(objects).first())
+    for group in (50_000, 200):
+        monkeypatch.setattr(hybrid, "GROUP", group)
+        assert hybrid.whole_maxima(objects) == want
+    assert hybrid.whole_maxima(objects.limit(1)) == (0.0, 0.0) == hybrid.whole_maxima(objects.limit(0))
+    for n, m in ((300, 170), (64, 1)):
+        a, b = rng.integers(0, 9, (n, 3)).astype(float), rng.integers(0, 12, (m, 3)).astype(float)
+        assert hybrid.farthest(a, b, block=50) == ((a[:, None] - b[None]) ** 2).sum(-1).max()
+        assert hybrid.farthest(a, None, block=50) == ((a[:, None] - a[None]) ** 2).sum(-1).max()
+    assert hybrid.farthest(np.zeros((5, 2)), None) == 0.0
+
+
+def test_two_modality_searches_take_maxima_of_the_whole_table(spark, sf, monkeypatch):
+    from lodestar.plans import vectors as plans
+
+    seen = []
+    monkeypatch.setattr(deg, "build_sharded", lambda objects, maxima, *_: seen.append(maxima) or (_ for _ in ()).throw(StopIteration))
+    objects = plans._objects(spark, sf).withColumn("id", F.col("id") + 1000)
+    far = objects.limit(1).withColumn("id", F.lit(5000).cast("long")).withColumn("e", F.transform("e", lambda v: v + 9))
+    monkeypatch.setattr(plans, "_objects", lambda *_: objects.union(far))
+    for name in ("deg_search", "fusion_search"):
+        with pytest.raises(StopIteration):
+            plans.QUERIES[name](spark, sf)
+    assert seen == [tuple(hybrid.pair_maxima(objects.union(far)).first())] * 2
