@@ -104,19 +104,29 @@ class ProximityGraph:
         ids = [i for i in ids if i != v]
         if not ids:
             return []
+        return self._thinned(ids, *self._cosines(v, ids), most, angle)
+
+    def _cosines(self, v: int, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the directions from ``v``, and which of them there are."""
         d = self.data[ids] - self.data[v]
         n = np.sqrt(np.einsum("ij,ij->i", d, d))
         keep_row = n > TINY
         d = d / np.where(keep_row, n, np.float32(1))[:, None]
-        close = (d @ d.T) > np.cos(np.radians(angle))
+        return d @ d.T, keep_row
+
+    @staticmethod
+    def _thinned(ids: list[int], cosines: np.ndarray, keep_row: np.ndarray, most: int, angle: float) -> list[int]:
+        if not ids:
+            return []
+        close = cosines > np.cos(np.radians(angle))
         kept: list[int] = []
-        blocked = ~keep_row
-        for i in range(len(ids)):
-            if len(kept) >= most:
-                break
-            if not blocked[i]:
-                kept.append(ids[i])
-                blocked |= close[i]
+        free = keep_row.copy()
+        at = int(free.argmax())
+        while len(kept) < most and free[at]:
+            kept.append(ids[at])
+            free[at] = False
+            free &= ~close[at]
+            at = int(free.argmax())
         return kept
 
     def _align(self) -> None:
@@ -129,10 +139,12 @@ class ProximityGraph:
             near = [i for _, i in self._search(self.data[v], most * 4, len(self.data))]
             if len(near) <= len(have):
                 continue
+            near = [i for i in near if i != v]
+            cosines, keep_row = self._cosines(v, near)
             low, high, best = 0.0, self.config.prune_angle, have
             for _ in range(20):
                 mid = (low + high) / 2
-                kept = self.prune(v, near, most, mid)
+                kept = self._thinned(near, cosines, keep_row, most, mid)
                 if len(kept) >= most:
                     best, low = kept, mid
                 else:
@@ -196,7 +208,7 @@ class Symphony:
 def build_sharded(vectors: DataFrame, shards: int, kind: str = "graph", config: GraphConfig | None = None) -> DataFrame:
     """``(shard, pos, id, vector, neighbours)``: one graph a shard of ``vectors (id, vector)``, inserted by id.
 
-    ``neighbours`` are places within the shard. A shard must fit a task; choose ``shards`` by that.
+    ``neighbours`` are places within the shard. A shard is a task of its own; choose ``shards`` by shards_of().
     """
     config = config or GraphConfig(align_degree=kind == "symphony")
 
@@ -206,7 +218,7 @@ def build_sharded(vectors: DataFrame, shards: int, kind: str = "graph", config:
         return pd.DataFrame({"shard": pdf["shard"], "pos": np.arange(len(pdf), dtype=np.int32), "id": pdf["id"], "vector": pdf["vector"], "neighbours": g.adjacency})
 
     placed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
-    return placed.groupBy("shard").applyInPandas(run, "shard int, pos int, id long, vector array<float>, neighbours array<int>")
+    return placed.repartitionById(shards, "shard").groupBy("shard").applyInPandas(run, "shard int, pos int, id long, vector array<float>, neighbours array<int>")
 
 
 def search_sharded(index: DataFrame, queries: DataFrame, k: int, beam: int, kind: str = "graph", bits: int = 5, seed: int = 0x5EED) -> DataFrame:
@@ -214,8 +226,9 @@ def search_sharded(index: DataFrame, queries: DataFrame, k: int, beam: int, kind
 
     Queries are sent to each shard by a join, so neither side has to be small.
     """
-    shards = index.select("shard").distinct()
-    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").cast("array<float>").alias("vector")).crossJoin(shards.withColumnRenamed("shard", "at"))
+    at = index.select(F.col("shard").alias("at")).distinct()
+    shards = (at.agg(F.max("at")).first()[0] or 0) + 1
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").cast("array<float>").alias("vector")).crossJoin(at)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -227,5 +240,5 @@ def search_sharded(index: DataFrame, queries: DataFrame, k: int, beam: int, kind
         rows = [(q, ids[v], d) for q, x in zip(right["query_id"], right["vector"]) for d, v in g.search(np.asarray(x, np.float32), k, beam)]
         return pd.DataFrame(rows, columns=["query_id", "id", "distance"])
 
-    found = index.groupBy("shard").cogroup(asked.groupBy("at")).applyInPandas(run, "query_id long, id long, distance double")
+    found = index.repartitionById(shards, "shard").groupBy("shard").cogroup(asked.repartitionById(shards, "at").groupBy("at")).applyInPandas(run, "query_id long, id long, distance double")
     return rank_top(found, k)

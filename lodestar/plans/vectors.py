@@ -323,7 +323,8 @@ def graph_search(spark, sf):
     from lodestar.operators import graph
     from lodestar.runtime import cut
 
-    index = cut(graph.build_sharded(_vectors(spark, sf), 4))
+    vectors = _vectors(spark, sf)
+    index = cut(graph.build_sharded(vectors, graph.shards_of(vectors, 4)))
     return graph.search_sharded(index, _queries(spark, sf, 50), K, 40).select("query_id", "id", "distance")
 
 
@@ -331,7 +332,8 @@ def symphony_search(spark, sf):
     from lodestar.operators import graph
     from lodestar.runtime import cut
 
-    index = cut(graph.build_sharded(_vectors(spark, sf), 4, "symphony"))
+    vectors = _vectors(spark, sf)
+    index = cut(graph.build_sharded(vectors, graph.shards_of(vectors, 4), "symphony"))
     return graph.search_sharded(index, _queries(spark, sf, 50), K, 40, "symphony").select("query_id", "id", "distance")
 
 

@@ -296,3 +296,39 @@ def test_two_modality_searches_take_maxima_of_the_whole_table(spark, sf, monkeyp
         with pytest.raises(StopIteration):
             plans.QUERIES[name](spark, sf)
     assert seen == [tuple(hybrid.pair_maxima(objects.union(far)).first())] * 2
+
+
+@pytest.mark.parametrize("name", ["graph_search", "symphony_search"])
+def test_graph_searches_have_more_shards_for_more_rows(spark, sf, monkeypatch, name):
+    """Each a task of its own, however small: a fixed number of them grows without end, and small ones were put into one task."""
+    from lodestar import runtime
+    from lodestar.plans import QUERIES
+
+    built = []
+    monkeypatch.setattr(graph, "SHARD", 9)
+    monkeypatch.setattr(runtime, "cut", lambda df, cut=runtime.cut: built.append(cut(df)) or built[-1])
+    assert QUERIES[name](spark, sf).count() == 500
+    where = built[0].withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("shard").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert len(where) == -(-built[0].count() // 9) and max(r.n for r in where) == 1 and max(r.rows for r in where) < 40
+
+
+def test_aligned_edges_are_those_pruned_at_the_widest_angle(monkeypatch):
+    x = np.random.default_rng(9).normal(size=(150, 12)).astype(np.float32)
+    calls, cosines = [], graph.ProximityGraph._cosines
+    g = graph.ProximityGraph(x, graph.GraphConfig(max_degree=12))
+    plain = [list(a) for a in g.adjacency]
+    for v in range(150):
+        near = [i for _, i in g._search(x[v], 48, 150)]
+        if len(plain[v]) < 12 and len(near) > len(plain[v]):
+            low, high, best = 0.0, 60.0, plain[v]
+            while high - low >= 0.05:
+                mid = (low + high) / 2
+                kept = g.prune(v, near, 12, mid)
+                low, high, best = (mid, high, kept) if len(kept) >= 12 else (low, mid, best)
+            g.adjacency[v] = best if len(best) > len(plain[v]) else plain[v]
+    monkeypatch.setattr(graph.ProximityGraph, "_cosines", lambda *a: calls.append(1) or cosines(*a))
+    aligned = graph.ProximityGraph(x, graph.GraphConfig(max_degree=12))
+    before = len(calls)
+    aligned._align()
+    assert aligned.adjacency == g.adjacency and 0 < len(calls) - before <= 150  # once a vertex, not once an angle
+    assert graph.ProximityGraph(x[:1], graph.GraphConfig(align_degree=True)).adjacency == [[]]
