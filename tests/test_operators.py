@@ -332,3 +332,29 @@ def test_aligned_edges_are_those_pruned_at_the_widest_angle(monkeypatch):
     aligned._align()
     assert aligned.adjacency == g.adjacency and 0 < len(calls) - before <= 150  # once a vertex, not once an angle
     assert graph.ProximityGraph(x[:1], graph.GraphConfig(align_degree=True)).adjacency == [[]]
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.5, 1.0])
+def test_edges_of_one_alpha_are_those_chosen_anew(alpha, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 5, (140, 6)).astype(np.float32)
+    calls, to = [], deg.Deg.to
+    monkeypatch.setattr(deg.Deg, "to", lambda *a: calls.append(1) or to(*a))
+    g = deg.Deg(x[:, :4], x[:, 4:], (5.0, 3.0), deg.DegConfig(max_degree=6, build_pool=24, fixed_alpha=alpha))
+    assert len(calls) < 140 * 45
+    at = lambda v, ids: (lambda d: d[1] + alpha * (d[0] - d[1]))(g.between(v, np.array(ids, int)))
+
+    def chosen(v, ids):
+        length, kept = at(v, ids), []
+        for p in np.lexsort((ids, length)):
+            if len(kept) < 6 and not any(length[k] < length[p] and at(ids[p], [ids[k]])[0] < length[p] for k in kept):
+                kept.append(p)
+        return [ids[p] for p in kept]
+
+    want = [[] for _ in x]
+    for v in range(1, len(x)):
+        g.near, g.seeds = want, seeds_of(g, v)
+        want[v] = chosen(v, g._candidates(v)[0][0].tolist())
+        for t in want[v]:
+            want[t] = chosen(t, [*want[t], v])
+    assert [[i for i, _ in a] for a in g.adjacency] == want
